@@ -104,8 +104,8 @@ def format_day(day: Column) -> Column:
 
 def format_day_in(day: Column, language: Column) -> Column:
     """First date format of the language."""
-    formats = {name: fmt for name, fmt in DATE_FORMAT.items()}
-    return F.date_format(day, by_language(language, formats))
+    styles = {style: F.date_format(day, style) for style in set(DATE_FORMAT.values())}
+    return by_language(language, {name: styles[style] for name, style in DATE_FORMAT.items()})
 
 
 def month_key(day: Column) -> Column:

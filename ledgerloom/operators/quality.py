@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.dims import LEGAL_RATES, STANDARD_RATES
 from ledgerloom.functions.checksum import cui_valid, iban_valid, nip_valid
 from ledgerloom.functions.money import MONEY
+from ledgerloom.memo import memo
 
 ERROR, WARNING, SUGGESTION = "error", "warning", "suggestion"
 
@@ -33,8 +34,10 @@ def _money(name: str) -> Column:
     return F.coalesce(name, F.lit(0).cast(MONEY))
 
 
-def findings(as_of: Column) -> Column:
+@memo
+def findings(as_of: str) -> Column:
     """``array<struct<rule, severity, item_pos, detail>>`` in rule order; messages are fixed values."""
+    today = F.lit(as_of).cast("date")
     col = F.col
     polish, romanian = col("language") == "Polski", col("language") == "Rumuński"
     number = F.coalesce("invoice_id", F.lit(""))
@@ -83,7 +86,7 @@ def findings(as_of: Column) -> Column:
         lambda a: _finding("V12", WARNING, _text("Nieprawidłowy IBAN: ", a)),
     )
     middle = F.array(
-        _if(dated & (issue > as_of), "V13", WARNING, "Data wystawienia w przyszłości"),
+        _if(dated & (issue > today), "V13", WARNING, "Data wystawienia w przyszłości"),
         _if(dated & (due < issue), "V14", ERROR, "Termin płatności przed datą wystawienia"),
         _if(dated & (term > 90), "V15", WARNING, "Bardzo długi termin płatności: ", term, " dni"),
         _if(dated & (term < 0), "V16", ERROR, "Ujemny termin płatności"),
@@ -153,7 +156,7 @@ def confidence(errors: Column, warnings: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), points)) / F.lit(100.0)
 
 
-def validate(invoices: DataFrame, as_of: Column) -> DataFrame:
+def validate(invoices: DataFrame, as_of: str) -> DataFrame:
     """Adds findings, errors, warnings, suggestions, confidence and is_verified; no shuffle."""
 
     def details(severity: str) -> Column:
@@ -169,13 +172,15 @@ def validate(invoices: DataFrame, as_of: Column) -> DataFrame:
 
 def long_findings(validated: DataFrame, *keys: str) -> DataFrame:
     """One row per finding, numbered in rule order."""
-    return validated.select(*keys, F.posexplode("findings").alias("ordinal", "f")).select(*keys, "ordinal", "f.*")
+    exploded = validated.select(*keys, F.posexplode_outer("findings").alias("ordinal", "f"))
+    return exploded.where(F.col("f").isNotNull()).select(*keys, "ordinal", "f.*")
 
 
 def rule_counts(validated: DataFrame) -> DataFrame:
     """Findings per rule and severity."""
     return (
-        validated.select(F.explode("findings").alias("f"))
+        validated.select(F.explode_outer("findings").alias("f"))
+        .where(F.col("f").isNotNull())
         .groupBy("f.rule", "f.severity")
         .agg(F.count("*").alias("findings"))
     )

@@ -1 +1,5 @@
+"""Registered queries by name."""
 
+from ledgerloom.plans import relational
+
+QUERIES = {**relational.QUERIES}

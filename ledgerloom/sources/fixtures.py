@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.dims import BANKS
 from ledgerloom.functions.checksum import NIP_WEIGHTS
 from ledgerloom.functions.money import MONEY, by_language, item_net
+from ledgerloom.memo import memo
 from ledgerloom.sources.tables import table
 
 AS_OF = "2001-01-01"
@@ -50,6 +51,7 @@ def _account(key: Column) -> Column:
     return F.concat(F.lit("PL"), F.lpad((98 - rest).cast("int").cast("string"), 2, "0"), body)
 
 
+@memo
 def amounts(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines with money columns, unnumbered and without descriptions."""
     price, discount = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(5,2)")
@@ -64,6 +66,7 @@ def amounts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@memo
 def items(spark: SparkSession, folder: str) -> DataFrame:
     """One row per item: order_key, position, description, quantity, unit_price, total, vat_rate."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
@@ -78,6 +81,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@memo
 def clean_invoices(spark: SparkSession, folder: str, with_items: bool = True) -> DataFrame:
     """One row per order, without planted defects; ``line_items`` only on request."""
     net = item_net(F.col("total"), F.col("vat_rate"))
@@ -177,6 +181,7 @@ _NO_ITEMS = (
 )
 
 
+@memo
 def invoices(spark: SparkSession, folder: str, with_items: bool = True) -> DataFrame:
     """Invoices with planted defects and copies; (file_id, seq) is unique."""
     k = F.col("order_key")
@@ -207,7 +212,7 @@ def invoices(spark: SparkSession, folder: str, with_items: bool = True) -> DataF
         F.array(F.lit(0), F.when(k % 50 == 0, 1), F.when(k % 53 == 0, 2)), lambda c: c.isNotNull()
     )
     return (
-        flawed.withColumn("copy", F.explode(copies))
+        flawed.withColumn("copy", F.explode_outer(copies))
         .withColumn("seq", F.col("seq") + 10 * F.col("copy"))
         .withColumn(
             "invoice_id",
@@ -221,6 +226,7 @@ def invoices(spark: SparkSession, folder: str, with_items: bool = True) -> DataF
     )
 
 
+@memo
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Rendered invoices, several to a document, plus each conversation as a document of its turns."""
     return invoice_pages(spark, folder).unionByName(talk_pages(spark, folder))
@@ -237,6 +243,7 @@ def talk_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@memo
 def invoice_pages(spark: SparkSession, folder: str) -> DataFrame:
     lang = F.col("language")
 
@@ -259,7 +266,7 @@ def invoice_pages(spark: SparkSession, folder: str) -> DataFrame:
         clean_invoices(spark, folder)
         .withColumn("n_pages", n_pages)
         .withColumn("first_page", F.coalesce(F.sum("n_pages").over(before), F.lit(0)).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(1), F.col("n_pages"))))
+        .withColumn("part", F.explode_outer(F.sequence(F.lit(1), F.col("n_pages"))))
     )
     header = F.concat(
         F.when((lang == "Polski") & (F.col("order_key") % 7 == 0), F.lit("FAKTURA VAT NR")).otherwise(label(HEADER)),
@@ -329,12 +336,13 @@ def _switch(column: Column, values: dict[str, str]) -> Column:
     return chosen
 
 
+@memo
 def words(spark: SparkSession, folder: str) -> DataFrame:
     """Recognised words of the rendered pages by two engines, one row per whitespace token."""
     base = (
         invoice_pages(spark, folder)
-        .select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line", "row"))
-        .select("doc_id", "page_no", "line", F.posexplode(F.split("row", r"\s+")).alias("pos", "token"))
+        .select("doc_id", "page_no", F.posexplode_outer(F.split("text", "\n")).alias("line", "row"))
+        .select("doc_id", "page_no", "line", F.posexplode_outer(F.split("row", r"\s+")).alias("pos", "token"))
         .where(F.col("token") != "")
     )
     step = F.col("line") * 7 + F.col("pos")
@@ -356,6 +364,7 @@ def words(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@memo
 def changes(spark: SparkSession, folder: str) -> DataFrame:
     """Change feed from the events: seq, order_key, action, amount, ts."""
     count = table(spark, folder, "orders").agg(F.count("*").alias("n"))
@@ -369,3 +378,15 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("event_id") % 3 != 0, F.round(F.col("value").cast("decimal(18,6)"), 2).cast(MONEY)).alias("amount"),
         "ts",
     )
+
+
+def tax_id_of(base: int, key: Column) -> Column:
+    """The tax id that the invoices carry for a supplier or customer key."""
+    return _tax_id(base, key)
+
+
+def talk_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a language label that the profiles mostly do not know."""
+    return table(spark, folder, "documents").select(
+        "doc_id", _switch(F.col("lang"), {"de": "Niemiecki", "en": "Angielski", "fr": "Francuski"}).alias("language")
+    )

@@ -1 +1,5 @@
 """Expected results as DuckDB SQL over the input tables; none of it calls the engine."""
+
+from oracle import relational
+
+SQL = {**relational.SQL}

@@ -65,7 +65,7 @@ items AS (
   SELECT order_key,
     CAST(row_number() OVER (PARTITION BY order_key ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS INT) AS position,
     p_name AS description, quantity,
-    CAST(round(CAST(total AS DOUBLE) / quantity, 2) AS DECIMAL(18,2)) AS unit_price, total, vat_rate,
+    CAST((CAST(total * 100 AS BIGINT) * 2 + quantity) // (2 * quantity) AS DECIMAL(18,0)) * 0.01 AS unit_price, total, vat_rate,
     CAST(round(CAST(total AS DOUBLE) / (1 + CAST(vat_rate AS DOUBLE) / 100), 2) AS DECIMAL(18,2)) AS net_amount
   FROM amt LEFT JOIN part ON p_partkey = l_partkey)"""
 
@@ -129,7 +129,7 @@ def _when(cond: str, ord_: int, rule: str, sev: str, msg: str) -> str:
 
 
 _DIFF = "CAST(total_net + total_vat AS DECIMAL(18,2))"
-_RATE = "CAST(round_even(CAST(total_vat AS DOUBLE) * 100 / CAST(total_net AS DOUBLE), 2) AS DECIMAL(18,2))"
+_RATE = "CAST(round_even(CAST(total_vat AS DOUBLE) * 100 / CAST(nullif(total_net, 0) AS DOUBLE), 2) AS DECIMAL(18,2))"
 _ITEM = "FROM inv JOIN items USING (order_key)"
 
 
