@@ -33,17 +33,15 @@ def parse_date(text: Column, as_of: Column) -> Column:
 def date_hits(text: Column, as_of: Column) -> Column:
     """Valid dates with positions, ``array<struct<pat, pos, date>>`` in pattern and text order."""
     last_day = F.date_add(as_of, 730)
-    found = [
-        F.transform(
-            regex_hits(text, pattern),
-            lambda h, n=n, fmt=fmt: F.struct(
-                F.lit(n).alias("pat"),
-                h["pos"].alias("pos"),
-                F.try_to_date(F.translate(h["raw"], "/.", "--"), fmt).alias("date"),
-            ),
-        )
-        for n, (pattern, fmt) in enumerate(DATE_HITS)
-    ]
+
+    def hits(n: int, pattern: str, fmt: str) -> Column:
+        def dated(h: Column) -> Column:
+            day = F.try_to_date(F.translate(h["raw"], "/.", "--"), fmt)
+            return F.struct(F.lit(n).alias("pat"), h["pos"].alias("pos"), day.alias("date"))
+
+        return F.transform(regex_hits(text, pattern), dated)
+
+    found = [hits(n, pattern, fmt) for n, (pattern, fmt) in enumerate(DATE_HITS)]
     return F.filter(F.concat(*found), lambda h: h["date"].between(F.lit(FIRST_DAY).cast("date"), last_day))
 
 
