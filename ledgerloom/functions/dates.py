@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.dims import DATE_FORMAT, DATE_HITS, DATE_LABELS
 from ledgerloom.functions.money import by_language
-from ledgerloom.functions.text import literal_positions, regex_hits
+from ledgerloom.functions.text import hits_sql, java_literal, regex_hits
 
 FIRST_DAY = "1990-01-01"
 NO_DATE = "Brak daty"
@@ -30,8 +30,8 @@ def parse_date(text: Column, as_of: Column) -> Column:
     return F.coalesce(*[first(p, f) for p, f in families])
 
 
-def date_hits(text: Column, as_of: Column) -> Column:
-    """Valid dates with positions, ``array<struct<pat, pos, date>>`` in pattern and text order."""
+def date_hits(text: str, as_of: Column) -> Column:
+    """Valid dates of a text column with positions, ``array<struct<pat, pos, date>>`` in pattern and text order."""
     last_day = F.date_add(as_of, 730)
 
     def hits(n: int, pattern: str, fmt: str) -> Column:
@@ -60,25 +60,29 @@ def drop_repeats(hits: Column) -> Column:
     )
 
 
-def near_label(low: Column, hits: Column, labels: list[str], reach: int = 150) -> Column:
-    """Date nearest to a label: first label, first occurrence with a date after it, else around it."""
+def near_label(low: str, hits: str, labels: list[str], reach: int = 150) -> Column:
+    """Date nearest to a label: first label, first occurrence with a date after it, else around it.
 
-    def at(label: str) -> Column:
-        def nearest(pos: Column) -> Column:
-            near = F.filter(hits, lambda h: F.abs(h["pos"] - pos) <= reach)
-            after = F.filter(near, lambda h: h["pos"] >= pos)
-            pool = F.when(F.size(after) > 0, after).otherwise(near)
-            return F.array_min(
-                F.transform(pool, lambda h: F.struct(F.abs(h["pos"] - pos).alias("dist"), h["pos"], h["date"]))
-            )
+    ``low`` is the column of the lower-case text, ``hits`` that of its dates.
+    """
 
-        found = F.transform(literal_positions(low, label.lower()), nearest)
-        return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))["date"]
+    def nearest(near: str) -> str:
+        return (
+            f"array_min(transform(filter({hits}, h -> {near}), "
+            "h -> struct(abs(h.pos - k.pos) as dist, h.pos as pos, h.date as date)))"
+        )
 
-    return F.coalesce(*[F.when(F.contains(low, F.lit(label.lower())), at(label)) for label in labels])
+    def at(label: str) -> str:
+        after = nearest(f"h.pos >= k.pos and h.pos <= k.pos + {reach}")
+        around = nearest(f"abs(h.pos - k.pos) <= {reach}")
+        places = hits_sql(low, java_literal(label.lower()))
+        found = f"filter(transform({places}, k -> coalesce({after}, {around})), x -> x is not null)"
+        return f"case when contains({low}, '{label.lower()}') then get({found}, 0).date end"
 
+    return F.expr("coalesce(" + ", ".join(map(at, labels)) + ")")
 
-def label_dates(low: Column, hits: Column) -> Column:
+
+def label_dates(low: str, hits: str) -> Column:
     """Struct issue, sale, due before repair."""
     return F.struct(*[near_label(low, hits, labels).alias(role) for role, labels in DATE_LABELS.items()])
 

@@ -60,26 +60,28 @@ def text_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != "")
 
 
-def regex_hits(text: Column, pattern: str) -> Column:
-    """``array<struct<pos, raw>>``: every match with its 0-based character position."""
-    raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    steps = F.zip_with(raws, F.slice(gaps, 1, F.size(raws)), lambda r, g: F.struct(r.alias("raw"), g.alias("gap")))
-    start = F.struct(
-        F.lit(0).alias("off"), F.expr("cast(array() as array<struct<pos:int,raw:string>>)").alias("out")
-    )
-
-    def step(acc: Column, s: Column) -> Column:
-        pos = acc["off"] + s["gap"]
-        hit = F.struct(pos.alias("pos"), s["raw"].alias("raw"))
-        return F.struct((pos + F.length(s["raw"])).alias("off"), F.array_append(acc["out"], hit).alias("out"))
-
-    return F.when(F.size(raws) > 0, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(start["out"])
-
-
-def literal_positions(text: Column, needle: str) -> Column:
-    """0-based positions of a literal, ``array<int>``."""
-    return F.transform(regex_hits(text, java_literal(needle)), lambda h: h["pos"])
+def hits_sql(name: str, pattern: str) -> str:
+    """SQL of ``array<struct<pos, raw>>``: every match in the column with its 0-based character position.
+
+    There is one gap more than matches; it pairs with a missing match and adds nothing.
+    """
+    return f"""
+      aggregate(
+        zip_with(
+          regexp_extract_all({name}, r'{pattern}', 0),
+          split({name}, r'{pattern}', -1),
+          (raw, gap) -> struct(raw, length(gap) as gap)),
+        named_struct('off', 0, 'out', cast(array() as array<struct<pos:int,raw:string>>)),
+        (acc, s) -> case when s.raw is null then acc else named_struct(
+          'off', acc.off + s.gap + length(s.raw),
+          'out', array_append(acc.out, named_struct('pos', acc.off + s.gap, 'raw', s.raw))) end,
+        acc -> acc.out)"""
+
+
+def regex_hits(name: str, pattern: str) -> Column:
+    """``array<struct<pos, raw>>`` of a text column; empty without a match."""
+    hits = f"case when regexp_like({name}, r'{pattern}') then {hits_sql(name, pattern)} end"
+    return F.expr(f"coalesce({hits}, cast(array() as array<struct<pos:int,raw:string>>))")
 
 
 def word(label: str) -> str:

@@ -1,5 +1,5 @@
 """Registered queries by name."""
 
-from ledgerloom.plans import relational
+from ledgerloom.plans import documents, relational
 
-QUERIES = {**relational.QUERIES}
+QUERIES = {**documents.QUERIES, **relational.QUERIES}

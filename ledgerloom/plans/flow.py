@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom import session
 from ledgerloom.operators import dedupe, extract, pages, quality
 
 
@@ -13,13 +14,22 @@ def boundaries(page_rows: DataFrame, auto: bool = True) -> DataFrame:
 
 
 def merged(page_rows: DataFrame, auto: bool = True) -> DataFrame:
-    """One text per invoice."""
-    return pages.merge_pages(page_rows, boundaries(page_rows, auto))
+    """One text per invoice; the boundaries are a small table, so that pages are searched for marks once."""
+    return pages.merge_pages(page_rows, session.stored(boundaries(page_rows, auto), "boundaries"))
+
+
+def stored(texts: DataFrame) -> DataFrame:
+    """Merged texts as a table in the shared folder.
+
+    Reading the texts takes most of the time of a run. With the cut a lost executor costs its part of that
+    work only, not the shuffles before it, and the long expressions are planned once over a plain scan.
+    """
+    return session.stored(texts, "texts")
 
 
 def invoices(page_rows: DataFrame, as_of: str, my_tax_id: str | None = None, auto: bool = True) -> DataFrame:
     """Extracted and checked invoices of the pages."""
-    return quality.validate(extract.extract(merged(page_rows, auto), as_of, my_tax_id), as_of)
+    return quality.validate(extract.extract(stored(merged(page_rows, auto)), as_of, my_tax_id), as_of)
 
 
 def supplier_totals(checked: DataFrame) -> DataFrame:

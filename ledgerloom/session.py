@@ -5,13 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-CONF = {
+# Settings that a running session takes. Reading texts costs much time per byte, so partitions may be small
+# as long as cores are idle; on large inputs the advisory size decides as usual.
+RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+CONF = {
+    **RUNTIME,
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -43,3 +49,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back: a cut in the lineage that outlives executors."""
+    spark = rows.sparkSession
+    path = work_dir(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

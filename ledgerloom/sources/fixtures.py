@@ -9,6 +9,7 @@ from ledgerloom.dims import BANKS
 from ledgerloom.functions.checksum import NIP_WEIGHTS
 from ledgerloom.functions.money import MONEY, by_language, item_net
 from ledgerloom.memo import memo
+from ledgerloom.session import stored
 from ledgerloom.sources.tables import table
 
 AS_OF = "2001-01-01"
@@ -245,6 +246,11 @@ def talk_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @memo
 def invoice_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The rendered pages as a table, as recognition would leave them; rendered once per application."""
+    return stored(rendered(spark, folder), "pages")
+
+
+def rendered(spark: SparkSession, folder: str) -> DataFrame:
     lang = F.col("language")
 
     def label(values: dict[str, str]) -> Column:
