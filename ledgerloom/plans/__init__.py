@@ -1,5 +1,5 @@
 """Registered queries by name."""
 
-from ledgerloom.plans import documents, relational
+from ledgerloom.plans import documents, feeds, relational
 
-QUERIES = {**documents.QUERIES, **relational.QUERIES}
+QUERIES = {**documents.QUERIES, **relational.QUERIES, **feeds.QUERIES}

@@ -9,6 +9,7 @@ from ledgerloom.functions import checksum, dates, text as texts
 from ledgerloom.memo import memo
 from ledgerloom.operators import changes, dedupe, extract, ocr, pages, quality, stats
 from ledgerloom.plans import flow
+from ledgerloom.session import stored
 from ledgerloom.sources import fixtures
 from ledgerloom.sources.tables import table
 
@@ -43,6 +44,12 @@ def checked(spark, folder):
     return quality.validate(extracted(spark, folder), fixtures.AS_OF)
 
 
+@memo
+def kept(spark, folder):
+    """The checked invoices as the table that a run leaves behind."""
+    return stored(checked(spark, folder).drop("raw_text"), "invoices")
+
+
 @memo
 def readings(spark, folder):
     return ocr.read_pages(fixtures.words(spark, folder))
@@ -302,12 +309,12 @@ def _(spark, folder):
 
 @query("v_extracted_by_rule")
 def _(spark, folder):
-    return quality.rule_counts(checked(spark, folder))
+    return quality.rule_counts(kept(spark, folder))
 
 
 @query("j05_extracted_duplicates")
 def _(spark, folder):
-    return dedupe.duplicate_rows(extracted(spark, folder))
+    return dedupe.mark_duplicates(kept(spark, folder)).select("file_id", "seq", "is_duplicate")
 
 
 @query("flagship_supplier_totals")

@@ -181,4 +181,10 @@ SQL["e11_label_positions"] = with_(PAGES, """SELECT doc_id, page_no, CASE WHEN p
 SQL["k07_error_records"] = """SELECT conv_id + 10000000000 AS file_id, 'ERROR_1' AS invoice_id, 'BŁĄD' AS invoice_type, TRUE AS failed,
   least(500, sum(length(text)) + 23 * (count(*) - 1)) AS kept FROM conversations GROUP BY conv_id"""
 SQL["j05_extracted_duplicates"] = with_(TRUTH, """, t AS (SELECT * REPLACE (CASE WHEN no_items THEN stray ELSE total_gross END AS total_gross), COALESCE(s_ok, b_ok) AS sup FROM truth)
-  SELECT file_id, start_page AS seq FROM t QUALIFY (sup IS NOT NULL AND count(*) OVER (PARTITION BY file_id, sup, issue_date, total_gross) > 1) OR count(*) OVER (PARTITION BY file_id, invoice_id) > 1""")
+  SELECT file_id, start_page AS seq, (sup IS NOT NULL AND count(*) OVER (PARTITION BY file_id, sup, issue_date, total_gross) > 1)
+    OR count(*) OVER (PARTITION BY file_id, invoice_id) > 1 AS is_duplicate FROM t""")
+# Errors that the clean records can show once read back: no seller name, one id read for both parties, no seller at all.
+SQL["flagship_supplier_totals"] = with_(TRUTH, f""", t AS (SELECT COALESCE(s_ok, b_ok) AS supplier_tax_id, {_GROSS} AS g,
+    CAST(no_items AS INT) + CAST((s_ok IS NULL) <> (b_ok IS NULL) AS INT) + CAST(no_items AND b_ok IS NULL AS INT) AS e FROM truth)
+  SELECT supplier_tax_id, count(*) AS invoices, count(*) FILTER (e = 0) AS valid, CAST(sum(e) AS BIGINT) AS errors,
+    CAST(sum(CAST(g AS DECIMAL(18,2))) AS DOUBLE) AS total_gross FROM t GROUP BY 1""")
