@@ -47,10 +47,9 @@ def date_hits(text: str, as_of: Column) -> Column:
 
 def drop_repeats(hits: Column) -> Column:
     """Keeps a hit unless an earlier kept one has the same date less than five characters away."""
-    empty = F.slice(hits, 1, 0)
     kept = F.aggregate(
         hits,
-        empty,
+        F.expr("cast(array() as array<struct<pat:int,pos:int,date:date>>)"),
         lambda acc, h: F.when(
             F.exists(acc, lambda k: (k["date"] == h["date"]) & (F.abs(k["pos"] - h["pos"]) < 5)), acc
         ).otherwise(F.array_append(acc, h)),

@@ -8,7 +8,7 @@ from ledgerloom import dims
 from ledgerloom.functions import text as texts
 from ledgerloom.operators import ordered, reports
 from ledgerloom.plans import relational
-from ledgerloom.session import stored, work_dir
+from ledgerloom.session import work_dir
 from ledgerloom.sources import export, files, fixtures
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import feeds
@@ -81,7 +81,7 @@ def _(spark, folder):
 
 @query("s09_report_sheets")
 def _(spark, folder):
-    rows = stored(relational.processed(spark, folder), "processed")
+    rows = relational.ready(spark, folder)
     path = work_dir(spark, "sheets")
     sheets = reports.workbook(rows)
     export.write_sheets(sheets, path)

@@ -9,6 +9,7 @@ from ledgerloom import dims
 from ledgerloom.functions import checksum, dates, labels, money
 from ledgerloom.memo import memo
 from ledgerloom.operators import changes, dedupe, joins, ordered, quality, reports, search, stats
+from ledgerloom.session import stored
 from ledgerloom.sources import export, fixtures
 from ledgerloom.sources.tables import table
 
@@ -41,6 +42,12 @@ def processed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@memo
+def ready(spark: SparkSession, folder: str) -> DataFrame:
+    """The processed invoices as the table that all reports read."""
+    return stored(processed(spark, folder), "processed")
+
+
 @memo
 def flat_items(spark: SparkSession, folder: str) -> DataFrame:
     net = money.item_net(F.col("total"), F.col("vat_rate"))
@@ -357,7 +364,7 @@ def _(spark, folder):
 
 @query("a13_panel")
 def _(spark, folder):
-    return stats.panel(processed(spark, folder))
+    return stats.panel(ready(spark, folder))
 
 
 @query("e03_row_numbers")
@@ -515,7 +522,7 @@ def _(spark, folder):
 
 @query("l01_l04_labels")
 def _(spark, folder):
-    return processed(spark, folder).select(
+    return ready(spark, folder).select(
         "file_id", "seq",
         labels.invoice_status(
             F.col("is_duplicate"), F.col("errors"), F.col("warnings"), F.col("confidence")
@@ -593,7 +600,7 @@ def _(spark, folder):
 
 @query("r01_summary")
 def _(spark, folder):
-    return reports.summary(processed(spark, folder))
+    return reports.summary(ready(spark, folder))
 
 
 @query("r02_details")
@@ -608,7 +615,7 @@ def _(spark, folder):
 
 @query("r04_statistics")
 def _(spark, folder):
-    return reports.statistics(validated(spark, folder))
+    return reports.statistics(ready(spark, folder))
 
 
 @query("r05_charts")
@@ -623,7 +630,7 @@ def _(spark, folder):
 
 @query("r07_validation")
 def _(spark, folder):
-    return reports.validation(validated(spark, folder))
+    return reports.validation(ready(spark, folder))
 
 
 # --- exports --------------------------------------------------------------------------------------
