@@ -33,7 +33,7 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.score(docs, labels, ["low_quality", "toxic"])
     return found.select(
         "doc_id", F.col("scores")[0].alias("p_low_quality"), F.col("scores")[1].alias("p_toxic"),
-        (F.col("scores")[1] >= 0.5).alias("toxic"),
+        (F.col("scores")[1] >= 0.3).alias("toxic"),
     )
 
 

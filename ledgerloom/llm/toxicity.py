@@ -76,7 +76,7 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, featu
     z = (p - q) / np.sqrt(pooled * (1 - pooled) * (1 / ones + 1 / (n - ones)))
     z[pos + neg < 3] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:features]
-    chosen = np.sort(chosen[np.abs(z[chosen]) > 2])
+    chosen = np.sort(chosen[np.abs(z[chosen]) > 3])
     column = np.full(BUCKETS, -1, np.int64)
     column[chosen] = np.arange(len(chosen))
     hit = column[flat] >= 0
@@ -173,15 +173,16 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def score(
     docs: DataFrame, labels: DataFrame, categories: list[str], bound: int = 16_000, name: str = "scores",
+    corpus: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with the column ``name``: the probability of each category, an array in the chain's order.
 
     ``labels`` holds doc_id and a 0/1 column per category; the chain is fitted on the driver on a sample of at most
-    ``bound`` labelled documents (features of whole texts, made by the tasks) and broadcast. Every text is scored
-    whole in its own row; nothing is shuffled but the labels. Null texts and texts without words have probability 0
+    ``bound`` labelled documents of ``corpus``, ``docs`` itself if not given (features of whole texts, made by the
+    tasks), and broadcast. Every text is scored whole in its own row; nothing is shuffled but the labels. Null texts and texts without words have probability 0
     in every category, and so has every text if there are no labels. Columns pass unchanged.
     """
-    rows, y = training_rows(docs, labels, categories, bound)
+    rows, y = training_rows(docs if corpus is None else corpus, labels, categories, bound)
     chain = fit_chain(rows, y, categories) if len(rows) else None
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     tag, none = os.urandom(8).hex(), [0.0] * len(categories)
@@ -198,7 +199,7 @@ def score(
     return docs.withColumn(name, scores(F.col("text").cast("string")))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.5, **more) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.3, **more) -> DataFrame:
     """``docs`` without the rows whose toxicity is ``reject`` or more; null and empty texts stay."""
     (name,) = fresh(docs, "scores")
     found = score(docs, labelled(labels), ["low_quality", "toxic"], name=name, **more)
