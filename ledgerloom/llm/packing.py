@@ -8,6 +8,7 @@ pieces; pieces are then numbered within their length on the cluster and look the
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
@@ -27,31 +28,39 @@ PIECE = "piece int, start long, length long, ids_crc32 long"
 class WordIds:
     """Token ids, as little-endian 32-bit bytes, of a vocabulary that drops white space.
 
-    Words between white space are encoded on their own and kept in a bounded cache; texts with a special token
+    Words between white space are encoded on their own and kept in a cache of two generations: when the younger is
+    full it becomes the older one, and a word of the older that is met again moves up. Texts with a special token
     string or a separator control character go whole through the library.
     """
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
         self.special = special(self.library)
-        self.table: dict[str, bytes] = {}
-
-    def _ids(self, encoding) -> bytes:
-        return np.asarray(encoding.ids, "<u4").tobytes()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def _ids(encoding) -> bytes:
+        return struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        new = {w: self.old[w] for w in words if w in self.old}
+        unknown = [w for w in words if w not in new]
+        codes = self.library.encode_batch_fast(unknown, add_special_tokens=False)
+        new.update(zip(unknown, map(self._ids, codes), strict=True))
+        if len(self.young) + len(new) > CACHE:
+            self.young, self.old = {}, self.young
+        self.young.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST)
+        return new
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special) or STRANGE.search(text):
             return self._ids(self.library.encode(text, add_special_tokens=False))
         words = text.split()
-        found = list(map(self.table.get, words))
+        found = list(map(self.young.get, words))
         if None in found:
-            miss = list({w for w, ids in zip(words, found, strict=True) if ids is None})
-            codes = self.library.encode_batch_fast(miss, add_special_tokens=False)
-            new = {w: self._ids(e) for w, e in zip(miss, codes, strict=True)}
+            new = self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
             found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-            if len(self.table) + len(new) > CACHE:
-                self.table.clear()
-            self.table.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST)
         return b"".join(found)
 
 
