@@ -59,6 +59,13 @@ def _logit(p) -> np.ndarray:
     return np.log(p / (1 - p)) / 4
 
 
+def _chunks(rows: list[np.ndarray], size: int = 1000):
+    """Features and row numbers of so many rows at a time, which bounds what stands in memory beside them."""
+    for at in range(0, len(rows), size):
+        part = rows[at : at + size]
+        yield np.concatenate(part), np.repeat(np.arange(at, at + len(part), dtype=np.int32), [len(x) for x in part])
+
+
 def fit_linear(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, features: int, steps: int, ridge: float) -> Linear:
     """Logistic regression by full gradients over the ``features`` buckets that tell the classes best apart."""
     n, ones = len(rows), int(y.sum())
@@ -66,21 +73,24 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, featu
     if not ones or ones == n:  # one class only: its share, smoothed
         share = (ones + 0.5) / (n + 1)
         return Linear(empty, np.zeros(earlier.shape[1]), float(np.log(share / (1 - share))))
-    size = np.fromiter(map(len, rows), np.int64, n)
-    flat = np.concatenate(rows) if size.sum() else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(n), size)
-    pos = np.bincount(flat, weights=y[owner].astype(float), minlength=BUCKETS)
-    neg = np.bincount(flat, minlength=BUCKETS) - pos
+    pos, total = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for flat, owner in _chunks(rows):
+        total += np.bincount(flat, minlength=BUCKETS)
+        pos += np.bincount(flat[y[owner] > 0], minlength=BUCKETS)
+    neg = total - pos
     p, q = (pos + 0.5) / (ones + 1), (neg + 0.5) / (n - ones + 1)
     pooled = (pos + neg + 1) / (n + 2)
     z = (p - q) / np.sqrt(pooled * (1 - pooled) * (1 / ones + 1 / (n - ones)))
     z[pos + neg < 3] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:features]
     chosen = np.sort(chosen[np.abs(z[chosen]) > 3])
-    column = np.full(BUCKETS, -1, np.int64)
+    column = np.full(BUCKETS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
-    hit = column[flat] >= 0
-    col, row = column[flat[hit]], owner[hit]
+    hits = []
+    for flat, owner in _chunks(rows):
+        at = column[flat]
+        hits.append((at[at >= 0], owner[at >= 0]))
+    col, row = (np.concatenate([h[i] for h in hits]) for i in (0, 1))
     w, b, v = np.zeros(len(chosen)), float(np.log(ones / (n - ones))), np.zeros(earlier.shape[1])
     moment = [np.zeros_like(w), 0.0, np.zeros_like(v)]
     square = [np.zeros_like(w), 0.0, np.zeros_like(v)]
@@ -163,7 +173,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], bou
     got = both.select(F.col("doc_id").cast("long").alias("doc_id"), *categories, "text").mapInPandas(cut, schema).toPandas()
     got = got.sort_values("doc_id", kind="stable").head(bound)
     values = got[categories].to_numpy(float).reshape(-1, len(categories))
-    return [np.asarray(x, np.int32) for x in got["features"]], values
+    return [np.asarray(x, np.int32) for x in got.pop("features")], values
 
 
 def labelled(labels: DataFrame) -> DataFrame:
