@@ -166,14 +166,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], bou
         make = Features()
         for part in frames:
             out = part[["doc_id", *categories]].copy()
-            out["features"] = [make(t) for t in part["text"]]
+            out["features"] = [make(t).astype("<i4").tobytes() for t in part["text"]]
             yield out
 
-    schema = "doc_id long, " + ", ".join(f"{c} double" for c in categories) + ", features array<int>"
+    schema = "doc_id long, " + ", ".join(f"{c} double" for c in categories) + ", features binary"
     got = both.select(F.col("doc_id").cast("long").alias("doc_id"), *categories, "text").mapInPandas(cut, schema).toPandas()
     got = got.sort_values("doc_id", kind="stable").head(bound)
     values = got[categories].to_numpy(float).reshape(-1, len(categories))
-    return [np.asarray(x, np.int32) for x in got.pop("features")], values
+    return [np.frombuffer(x, "<i4") for x in got.pop("features")], values
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, categories: list[str], bound: int = 16_000, name: str = "scores",
+    docs: DataFrame, labels: DataFrame, categories: list[str], bound: int = 8_000, name: str = "scores",
     corpus: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with the column ``name``: the probability of each category, an array in the chain's order.
