@@ -255,12 +255,6 @@ def lang_profile(spark: SparkSession) -> DataFrame:
     )
 
 
-def lang_keyword(spark: SparkSession) -> DataFrame:
-    """One row per language, role and keyword."""
-    rows = [(lang, role, word) for lang in LANGUAGES for role, words in KEYWORDS[lang].items() for word in words]
-    return spark.createDataFrame(rows, "language string, role string, keyword string")
-
-
 def bank_codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(BANKS.items()), "bank_code string, bank_name string")
 

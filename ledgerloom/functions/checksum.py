@@ -108,7 +108,7 @@ def bank_code(account: Column) -> Column:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """The two id checks as temporary SQL functions."""
+    """The id and account checks as temporary SQL functions: nip_valid, cui_valid, iban_valid, tax_digits."""
     weighted = " + ".join(f"try_cast(substr(d, {i + 1}, 1) as int) * {w}" for i, w in enumerate(NIP_WEIGHTS))
     spark.sql(
         "create or replace temporary function nip_valid(text string) returns boolean return "
@@ -119,3 +119,20 @@ def register_sql(spark: SparkSession) -> None:
         "create or replace temporary function tax_digits(text string) returns string "
         r"return regexp_replace(text, '\\D', '')"
     )
+    key = " + ".join(
+        f"if(length(d) > {i + 1}, try_cast(substr(d, {i + 1}, 1) as int) * {w}, 0)" for i, w in enumerate(CUI_KEY[:8])
+    )
+    spark.sql(
+        "create or replace temporary function cui_valid(text string) returns boolean return "
+        f"(select coalesce(length(d) = 10 or (length(d) between 2 and 9 and ({key}) * 10 % 11 % 10 = try_cast(right(d, 1) as int)), false) "
+        r"from (select regexp_replace(text, '\\D', '') as d))"
+    )
+    lengths = ", ".join(f"'{code}', {n}" for code, n in IBAN_LENGTH.items())
+    spark.sql(
+        "create or replace temporary function iban_valid(account string) returns boolean return "
+        r"(select coalesce(c rlike '^[A-Z]{2}[0-9]{2}[A-Z0-9]+$' "
+        f"and coalesce(try_element_at(map({lengths}), substr(c, 1, 2)), length(c)) = length(c) "
+        "and aggregate(split(concat(substr(c, 5), substr(c, 1, 4)), ''), 0, (s, x) -> case when x = '' then s "
+        "when x between '0' and '9' then (s * 10 + try_cast(x as int)) % 97 else (s * 100 + ascii(x) - 55) % 97 end) = 1, false) "
+        r"from (select upper(regexp_replace(account, '(?U)\\s', '')) as c))"
+    )

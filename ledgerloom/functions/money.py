@@ -29,8 +29,34 @@ def amount_value(token: Column) -> Column:
     return F.concat(whole, F.lit("."), F.rpad(cents, 2, "0")).try_cast(MONEY)
 
 
-def parse_amount(text: Column) -> Column:
-    """First amount of a text, currency words removed; NULL when there is none."""
+def _localized(token: Column, decimal: str, thousand: str) -> Column:
+    """Value of a number written with the separators of one language.
+
+    A separator before exactly three digits groups if it isn't the decimal one; the decimal one takes any number of
+    decimals (rounded to cents); the other one takes one or two at the end.
+    """
+    other = "." if decimal == "," else ","
+    plain = F.regexp_replace(token, r"[\s\u00a0]", "")
+    plain = F.regexp_replace(plain, rf"[{other}](?=\d{{3}}(?!\d))", "")
+    plain = F.regexp_replace(plain, rf"[{other}](\d{{1,2}})$", rf"{decimal}$1")
+    cents = F.regexp_extract(plain, rf"[{decimal}](\d+)$", 1)
+    whole = F.regexp_replace(F.regexp_replace(plain, rf"[{decimal}]\d+$", ""), r"\D", "")
+    return F.concat(whole, F.lit("."), F.rpad(cents, 6, "0")).try_cast("decimal(24,6)").cast(MONEY)
+
+
+NUMBER = r"\d+(?:[.,  ]\d+)*"
+
+
+def parse_amount(text: Column, language: Column | None = None) -> Column:
+    """First amount of a text, currency words removed; NULL when there is none.
+
+    With a language the number is read with its separators, else the last separator before one or two digits is
+    the decimal one.
+    """
+    if language is not None:
+        number = F.regexp_extract(F.regexp_replace(text, CURRENCY_WORDS, ""), f"({NUMBER})", 1)
+        values = {name: _localized(number, DECIMAL_SEP[name], THOUSAND_SEP[name]) for name in DECIMAL_SEP}
+        return F.when(number != "", by_language(language, values))
     token = F.regexp_extract(F.regexp_replace(text, CURRENCY_WORDS, ""), f"({AMOUNT})", 1)
     return F.when(token != "", amount_value(token))
 

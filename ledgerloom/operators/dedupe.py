@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.joins import HOT_ROWS, join_groups
-
 EXACT = ["supplier_tax_id", "issue_date", "total_gross"]
 ROW = ["file_id", "seq"]
 
@@ -22,7 +20,7 @@ def _present(columns: list[str]) -> Column:
     return out
 
 
-def exact_duplicates(invoices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def exact_duplicates(invoices: DataFrame) -> DataFrame:
     """Links first_id -> invoice_id among invoices of equal supplier, issue date and gross."""
     rows = invoices.where(_present(EXACT + ["invoice_id"])).select(*EXACT, "invoice_id")
     groups = (
@@ -31,7 +29,7 @@ def exact_duplicates(invoices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
         .where(F.col("first_id") < F.col("last_id"))
         .drop("last_id")
     )
-    linked = join_groups(rows, groups, EXACT, hot_rows)
+    linked = rows.join(groups, EXACT)
     return linked.where(F.col("invoice_id") > F.col("first_id")).select("first_id", "invoice_id", "n", *EXACT)
 
 
@@ -78,14 +76,14 @@ def _keyed(invoices: DataFrame) -> DataFrame:
 KEY = ["file_id", "rule", "key", "day", "amount"]
 
 
-def near_duplicates(invoices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def near_duplicates(invoices: DataFrame) -> DataFrame:
     """Links first_seq -> seq within a file: equal number, or equal supplier, date and amount.
 
     Amounts have two decimals, so a difference below 0.01 means equal.
     """
     rows = _keyed(invoices)
     groups = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).where("n > 1")
-    linked = join_groups(rows, groups, KEY, hot_rows).where(F.col("seq") > F.col("first_seq"))
+    linked = rows.join(groups, KEY).where(F.col("seq") > F.col("first_seq"))
     return linked.select("file_id", "first_seq", "seq").distinct()
 
 
@@ -100,7 +98,7 @@ def near_pair_count(invoices: DataFrame) -> DataFrame:
     return both.groupBy("file_id").agg(F.sum("p").cast("long").alias("duplicate_pairs"))
 
 
-def duplicate_rows(invoices: DataFrame, tolerance: str = "0.01", hot_rows: int = HOT_ROWS) -> DataFrame:
+def duplicate_rows(invoices: DataFrame, tolerance: str = "0.01") -> DataFrame:
     """(file_id, seq) of every row that is an end of some pair; any amount tolerance.
 
     Amounts fall into buckets as wide as the tolerance: two rows of one bucket always pair, and a row can
@@ -113,7 +111,7 @@ def duplicate_rows(invoices: DataFrame, tolerance: str = "0.01", hot_rows: int =
     by_id = rows.where(F.col("invoice_id").isNotNull()).select(*ROW, "invoice_id")
     id_key = ["file_id", "invoice_id"]
     same_id = by_id.groupBy(*id_key).agg(F.count("*").alias("n")).where("n > 1")
-    hits_id = join_groups(by_id, same_id, id_key, hot_rows).select(*ROW)
+    hits_id = by_id.join(same_id, id_key).select(*ROW)
 
     amount_key = ["file_id", "supplier_tax_id", "issue_date", "bucket"]
     by_amount = rows.where(_present(EXACT)).select(*ROW, "supplier_tax_id", "issue_date", "bucket", "total_gross")
@@ -136,7 +134,7 @@ def duplicate_rows(invoices: DataFrame, tolerance: str = "0.01", hot_rows: int =
         & ((F.col("n") > 1) | (F.col("low") - F.col("prev") < tol) | (F.col("next") - F.col("high") < tol))
     ).drop("low", "high")
     hits_amount = (
-        join_groups(by_amount, near, amount_key, hot_rows)
+        by_amount.join(near, amount_key)
         .where(
             (F.col("n") > 1)
             | (F.col("total_gross") - F.col("prev") < tol)
@@ -147,7 +145,7 @@ def duplicate_rows(invoices: DataFrame, tolerance: str = "0.01", hot_rows: int =
     return hits_id.unionByName(hits_amount).distinct()
 
 
-def mark_duplicates(invoices: DataFrame, tolerance: str = "0.01", hot_rows: int = HOT_ROWS) -> DataFrame:
+def mark_duplicates(invoices: DataFrame, tolerance: str = "0.01") -> DataFrame:
     """Adds ``is_duplicate``; texts and items stay out of the duplicate search."""
-    flagged = duplicate_rows(invoices, tolerance, hot_rows).withColumn("is_duplicate", F.lit(True))
+    flagged = duplicate_rows(invoices, tolerance).withColumn("is_duplicate", F.lit(True))
     return invoices.join(flagged, ROW, "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))

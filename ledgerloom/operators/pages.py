@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ledgerloom import dims
 from ledgerloom.functions.text import keyword_hits
 from ledgerloom.memo import memo
-from ledgerloom.operators.joins import lookup
 
 BLOCK = 1 << 16  # pages whose marks one window may hold
 MERGE_BLOCK = 256  # pages that meet their boundaries in one group
@@ -321,4 +320,4 @@ def label_language(pages: DataFrame) -> DataFrame:
     first = detect_language(pages.where(F.col("page_no") == 1).select("doc_id", "text")).select(
         "doc_id", F.col("detected").alias("language")
     )
-    return lookup(pages.drop("language"), first, "doc_id")
+    return pages.drop("language").join(first, "doc_id", "left")

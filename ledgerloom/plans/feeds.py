@@ -39,7 +39,7 @@ def _(spark, folder):
 def _(spark, folder):
     path = work_dir(spark, "totals")
     feeds.running_totals(_events(spark, folder), path, work_dir(spark, "state"), "event_type", "value").awaitTermination()
-    return spark.read.parquet(path).drop("after_batch")
+    return feeds.current_totals(spark, path).drop("after_batch")
 
 
 @query("x03_unique_keys")
@@ -60,14 +60,24 @@ def _(spark, folder):
     return ordered.latest(spark.read.parquet(path).drop("ts"), ["user_id"], "event_id")
 
 
+def _written(spark, folder):
+    """The texts of the benchmark items as files, one for each."""
+    path = work_dir(spark, "files")
+    table(spark, folder, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    return path
+
+
 @query("s03_discovery")
 def _(spark, folder):
-    return files.discover(spark, folder, "*.parquet").select("file_name", "file_size")
+    found = files.discover(spark, _written(spark, folder), "*.txt")
+    item = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long")
+    return found.select(item.alias("item_id"), "file_size", F.col("task_id").rlike("^task_[0-9a-f]{16}_part-").alias("named"))
 
 
 @query("s04_file_digests")
 def _(spark, folder):
-    return files.digests(spark, folder, "*.parquet").select("file_name", "file_hash")
+    found = files.digests(spark, _written(spark, folder), "*.txt")
+    return found.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "file_hash")
 
 
 @query("s05_attachments")

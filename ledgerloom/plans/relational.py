@@ -9,7 +9,7 @@ from ledgerloom import dims
 from ledgerloom.functions import checksum, dates, labels, money
 from ledgerloom.memo import memo
 from ledgerloom.operators import changes, dedupe, joins, ordered, quality, reports, search, stats
-from ledgerloom.session import stored
+from ledgerloom.session import stored, work_dir
 from ledgerloom.sources import export, fixtures
 from ledgerloom.sources.tables import table
 
@@ -125,7 +125,7 @@ def _(spark, folder):
 def _(spark, folder):
     day, amount = F.col("issue_date"), F.col("total_gross")
     rows = fixtures.invoices(spark, folder, False)
-    sane_day = day.between(F.lit("1990-01-01").cast("date"), F.date_add(fixtures.as_of(), 100))
+    sane_day = day.between(F.lit("1990-01-01").cast("date"), F.date_add(fixtures.as_of(), 365))
     return rows.where(sane_day & (amount > 0) & (amount < 10_000_000)).select(*HEAD)
 
 
@@ -423,7 +423,7 @@ def _(spark, folder):
 @query("n01_parse_amount")
 def _(spark, folder):
     text = money.format_amount(F.col("total_gross"), F.col("language"))
-    return fixtures.clean_invoices(spark, folder, False).select("invoice_id", money.parse_amount(text).alias("amount"))
+    return fixtures.clean_invoices(spark, folder, False).select("invoice_id", money.parse_amount(text, F.col("language")).alias("amount"))
 
 
 @query("n04_reverse_charge")
@@ -638,9 +638,10 @@ def _(spark, folder):
 
 @query("s08_json_export")
 def _(spark, folder):
-    rows = export.json_rows(validated(spark, folder))
-    field = lambda path: F.get_json_object("line", f"$.{path}")
-    return rows.select(F.to_json(F.struct("*")).alias("line")).select(
+    path = work_dir(spark, "export")
+    export.write_json(validated(spark, folder), path)
+    field = lambda path: F.get_json_object("value", f"$.{path}")
+    return spark.read.text(path).where(field("version").isNotNull() & field("export_date").isNotNull()).select(
         field("invoice_id").alias("invoice_id"), field("supplier.tax_id").alias("supplier_tax_id"),
         field("amounts.gross").cast("double").alias("gross"), field("amounts.currency").alias("currency"),
         field("items[0].description").alias("first_item"),

@@ -39,11 +39,14 @@ def current(spark: SparkSession, path: str, schema: str, keys: list[str], order:
 
 
 def running_totals(stream: DataFrame, path: str, state: str, key: str, value: str) -> StreamingQuery:
-    """Counts and sums per key over everything seen, rewritten after each arrival."""
+    """Counts and sums per key over everything seen, a new version after each arrival.
+
+    A version is written whole under the number of its batch, so a failure leaves the versions before it.
+    """
     totals = stream.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).alias("total"))
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("after_batch", F.lit(batch)).write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").parquet(f"{path}/after_batch={batch}")
 
     return (
         totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state)
@@ -51,6 +54,13 @@ def running_totals(stream: DataFrame, path: str, state: str, key: str, value: st
     )
 
 
+def current_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of the running totals."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("after_batch").alias("after_batch"))
+    return versions.join(F.broadcast(newest), "after_batch", "left_semi")
+
+
 def first_of_key(stream: DataFrame, path: str, state: str, key: str, time: str, delay: str) -> StreamingQuery:
     """Appends the first arrival of each key; the state of a key is kept for the delay."""
     unique = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])

@@ -72,6 +72,8 @@ _NUMERIC = """length({t}) AS n_chars_seen, length({t}) - length(replace({t}, chr
   len(regexp_extract_all({t}, '[0-9]+')) AS n_numbers, len(regexp_extract_all({t}, '[A-Z]{{2,}}')) AS n_caps"""
 SQL["t24_text_features"] = f"""SELECT 'documents' AS kind, doc_id AS id, {_NUMERIC.format(t='text')} FROM documents
   UNION ALL SELECT 'pages', page_id, {_NUMERIC.format(t='html')} FROM pages UNION ALL SELECT 'talk', conv_id * 1000 + turn, {_NUMERIC.format(t='text')} FROM conversations"""
+SQL["s03_discovery"] = "SELECT item_id, strlen(text) + 1 AS file_size, true AS named FROM benchmark"
+SQL["s04_file_digests"] = "SELECT item_id, sha256(text || chr(10)) AS file_hash FROM benchmark"
 SQL["s04_text_digest"] = "SELECT doc_id, sha256(text) AS digest FROM documents"
 
 

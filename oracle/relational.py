@@ -33,7 +33,7 @@ SQL["p11_p12_order_limit"] = with_(INV, f"SELECT {HEAD} FROM inv ORDER BY inv.to
 SQL["p12_oldest_numbers"] = with_(INV, "SELECT file_id, seq, invoice_id FROM inv ORDER BY invoice_id NULLS FIRST, file_id, seq LIMIT 40")
 SQL["p14_point_lookup"] = with_(INV, f"""SELECT invoice_id, {day('issue_date')}, position AS lp, position, description, quantity,
   {d('unit_price', 'total', 'vat_rate')} FROM inv JOIN items USING (order_key) WHERE invoice_id = 'DE-5'""")
-SQL["p15_p16_sane_values"] = with_(INV, f"""SELECT {HEAD} FROM inv WHERE inv.issue_date BETWEEN DATE '1990-01-01' AND DATE '2001-04-11'
+SQL["p15_p16_sane_values"] = with_(INV, f"""SELECT {HEAD} FROM inv WHERE inv.issue_date BETWEEN DATE '1990-01-01' AND DATE '2002-01-01'
   AND inv.total_gross > 0 AND inv.total_gross < 10000000""")
 SQL["p17_confidence_gate"] = with_(INV, "SELECT file_id, seq, CAST(ocr_confidence AS DOUBLE) AS confidence FROM inv WHERE ocr_confidence >= 0.85")
 SQL["p18_p19_short_texts"] = with_(FINDINGS, """SELECT file_id, seq, left(supplier_name, 30) AS name30, left(buyer_name, 12) AS name12,

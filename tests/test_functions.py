@@ -64,6 +64,27 @@ def test_parse_amount(spark, value, amount):
     assert got == (Decimal(amount) if amount else None)
 
 
+@pytest.mark.parametrize("value, language, amount", [
+    ("1 234,56 zł", "Polski", "1234.56"), ("1234,567", "Polski", "1234.57"), ("12.345", "Polski", "12345.00"),
+    ("1.234,56 zł", "Polski", "1234.56"), ("12.34", "Polski", "12.34"), ("12.345", "Niemiecki", "12345.00"),
+    ("1.234.567,8 €", "Niemiecki", "1234567.80"), ("12.345", "Angielski", "12.35"), ("1,234.5 $", "Angielski", "1234.50"),
+    ("12,345", "Angielski", "12345.00"), ("12,34", "Angielski", "12.34"), ("abc", "Polski", None), ("7", None, "7.00"),
+])
+def test_parse_amount_of_a_language(spark, value, language, amount):
+    got = one(spark, money.parse_amount(F.col("t"), F.lit(language).cast("string")), t=value)
+    assert got == (Decimal(amount) if amount else None)
+
+
+def test_sql_functions_agree_with_the_columns(spark):
+    checksum.register_sql(spark)
+    ids = ["7530011446", "753-001-14-46", "1", "12", "18547290", "1854729", "123456789", "1234567890", "", None, "RO 18547290", "99"]
+    ibans = ["PL61109010140000071219812874", "pl61 1090 1014 0000 0712 1981 2874", "PL61109010140000071219812875", "DE89370400440532013000", "XX00", "", None]
+    frame = spark.createDataFrame([(i,) for i in ids + ibans], "t string")
+    for name, column in (("nip_valid", checksum.nip_valid), ("cui_valid", checksum.cui_valid), ("iban_valid", checksum.iban_valid)):
+        rows = frame.select("t", F.expr(f"{name}(t)").alias("sql"), column(F.col("t")).alias("col")).collect()
+        assert [r.sql for r in rows] == [r.col for r in rows] and any(r.sql for r in rows)
+
+
 def test_vat_rounds_half_up(spark):
     assert one(spark, money.vat_of(F.col("n"), F.lit(Decimal("12.50"))), n=Decimal("1.00")) == Decimal("0.13")
     assert one(spark, money.vat_of(F.col("n"), F.lit(23)), n=Decimal("-10.00")) == Decimal("-2.30")
