@@ -225,7 +225,8 @@ def clean_intervals(boundaries: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def merge_pages(pages: DataFrame, boundaries: DataFrame, block: int = MERGE_BLOCK) -> DataFrame:
-    """The text of each boundary: its non-empty pages in order, joined by the page-break mark.
+    """The text of each boundary: its non-empty pages in order, joined by the page-break mark; the language is that
+    of the first of them.
 
     Pages and boundaries meet on (document, block of pages), so page texts are shuffled once and a large
     document spreads over many groups. Only invoices that cross a block edge are put together again.
@@ -252,17 +253,18 @@ def merge_pages(pages: DataFrame, boundaries: DataFrame, block: int = MERGE_BLOC
         side = placed.where(F.col("crosses") == crosses).drop("crosses")
         met = texts.join(side, ["doc_id", "block"]).where(F.col("page_no").between(F.col("start_page"), F.col("end_page")))
         return met.groupBy("doc_id", "block", "start_page", "end_page").agg(
-            F.collect_list(page).alias("parts"), F.first("info").alias("info"), F.min("language").alias("language")
+            F.collect_list(page).alias("parts"), F.first("info").alias("info"),
+            F.min(F.struct("page_no", "language")).alias("first"),
         )
 
     crossing = (
         pieces(True)
         .groupBy(*keys)
-        .agg(F.flatten(F.collect_list("parts")).alias("parts"), F.first("info").alias("info"), F.min("language").alias("language"))
+        .agg(F.flatten(F.collect_list("parts")).alias("parts"), F.first("info").alias("info"), F.min("first").alias("first"))
     )
     every = pieces(False).drop("block").unionByName(crossing)
     text = F.array_join(F.transform(F.array_sort("parts"), lambda p: p["text"]), dims.PAGE_BREAK)
-    named = every.select(*keys, text.alias("text"), "language", "info")
+    named = every.select(*keys, text.alias("text"), "first.language", "info")
     return named.select(*keys, "text", "language", *[F.col(f"info.{c}").alias(c) for c in rest])
 
 

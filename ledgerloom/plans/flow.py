@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import session
-from ledgerloom.operators import dedupe, extract, pages, quality
+from ledgerloom.operators import changes, dedupe, extract, pages, quality
 
 
 def boundaries(page_rows: DataFrame, auto: bool = True) -> DataFrame:
@@ -27,9 +27,17 @@ def stored(texts: DataFrame) -> DataFrame:
     return session.stored(texts, "texts")
 
 
-def invoices(page_rows: DataFrame, as_of: str, my_tax_id: str | None = None, auto: bool = True) -> DataFrame:
-    """Extracted and checked invoices of the pages."""
-    return quality.validate(extract.extract(stored(merged(page_rows, auto)), as_of, my_tax_id), as_of)
+def invoices(
+    page_rows: DataFrame, as_of: str, my_tax_id: str | None = None, auto: bool = True, detect: bool = False
+) -> DataFrame:
+    """Extracted and checked invoices of the pages; texts without any key field become error records.
+
+    Pages without a language column, or all with ``detect``, get the language of their document's first page.
+    """
+    if detect or "language" not in page_rows.columns:
+        page_rows = pages.label_language(page_rows)
+    parsed = extract.extract(stored(merged(page_rows, auto)), as_of, my_tax_id)
+    return quality.validate(changes.error_records(parsed), as_of)
 
 
 def supplier_totals(checked: DataFrame) -> DataFrame:

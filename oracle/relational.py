@@ -139,7 +139,8 @@ SQL["e09_latest_change"] = f"""WITH {FEED} SELECT order_key, seq, action, {d('am
 SQL["u02_replaced_items"] = with_(STORE, f"""SELECT order_key, position, description, {d('total')} FROM items WHERE order_key NOT IN (SELECT order_key FROM feed WHERE action = 'UPDATE')
   UNION ALL SELECT order_key, row_number() OVER (PARTITION BY order_key ORDER BY position), description, CAST(total AS DOUBLE) FROM items
   WHERE order_key IN (SELECT order_key FROM feed WHERE action = 'UPDATE') AND items.total > 20000""")
-SQL["u04_all_files"] = with_(CLEAN, f"SELECT file_id, invoice_id, {d('total_gross')} FROM clean")
+SQL["u04_all_files"] = with_(CLEAN, f"""SELECT file_id, invoice_id, {d('total_gross')} FROM clean
+  UNION ALL SELECT DISTINCT conv_id + 10000000000, NULL, NULL FROM conversations""")
 
 _VAT = "CAST(round(net_amount * vat_rate * 0.01, 2) AS DECIMAL(18,2))"
 SQL["n02_vat"] = with_(ITEMS, f"SELECT order_key, position, CAST({_VAT} AS DOUBLE) AS vat, CAST(net_amount + {_VAT} AS DOUBLE) AS gross, {d('net_amount')} FROM items")

@@ -5,6 +5,8 @@ import random
 import pytest
 
 from ledgerloom.operators import ocr, pages
+from ledgerloom.plans import flow
+from ledgerloom.sources import fixtures
 from pyspark.sql import functions as F
 
 
@@ -113,3 +115,25 @@ def test_polygon_box(spark):
     assert (got.x, got.y, got.left, got.top, got.width, got.height) == (3.0, 5.0, 1, 2, 4, 6)
     none = row.select(ocr.polygon_box(F.slice("p", 1, 0), F.col("i")).alias("b")).first().b
     assert (none.y, none.top, none.width, none.height) == (90.0, 90, 100, 20)
+
+
+def test_language_of_a_text_is_that_of_its_first_page(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, "a", "Rumuński"), (1, 2, "b", "Angielski"), (1, 3, "c", "Polski"), (1, 4, "d", "Angielski")],
+        "doc_id long, page_no int, text string, language string",
+    )
+    bounds = spark.createDataFrame([(1, 1, 2), (1, 3, 4)], "doc_id long, start_page int, end_page int")
+    for block in (1, 2, 100):
+        got = {r.start_page: r.language for r in pages.merge_pages(rows, bounds, block).collect()}
+        assert got == {1: "Rumuński", 3: "Polski"}
+
+
+def test_flow_finds_languages_and_failed_texts(spark, folder):
+    rows = fixtures.invoice_pages(spark, folder).where("doc_id < 60").drop("language")
+    talk = fixtures.talk_pages(spark, folder).drop("language")
+    got = flow.invoices(rows.unionByName(talk), fixtures.AS_OF).select("file_id", "seq", "language", "failed", "invoice_id").collect()
+    truth = {r.doc_id: r.language for r in pages.label_language(rows).select("doc_id", "language").distinct().collect()}
+    invoices = [r for r in got if r.file_id < 60]
+    assert invoices and all(r.language == truth[r.file_id] and not r.failed for r in invoices)
+    talks = [r for r in got if r.file_id >= 60]
+    assert talks and all(r.failed and r.invoice_id.startswith("ERROR_") for r in talks)
