@@ -247,9 +247,8 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
 
 @memo
 def store(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored invoices: clean records not paid by card, so that changes also name unknown ones."""
-    rows = fixtures.clean_invoices(spark, folder, False)
-    return rows.where(F.col("payment_method") != "karta").select(
+    """The stored invoices: all clean records."""
+    return fixtures.clean_invoices(spark, folder, False).select(
         "invoice_id", "invoice_type", "issue_date", "supplier_tax_id", "total_net", "total_gross",
         "payment_status", "paid_amount", F.lit(False).alias("is_verified"),
         F.concat(F.lit("file-"), F.col("file_id")).alias("file_path"),
@@ -258,12 +257,14 @@ def store(spark: SparkSession, folder: str) -> DataFrame:
 
 @memo
 def updates(spark: SparkSession, folder: str) -> DataFrame:
-    """New readings of invoices named by the CREATE and UPDATE events; the amount is the new gross."""
+    """Invoices of the CREATE events under new numbers, new readings of those of the UPDATE events; the amount is
+    the new gross."""
     source = feed(spark, folder).where(F.col("action").isin("CREATE", "UPDATE")).withColumnRenamed("seq", "change_seq")
     rows = fixtures.clean_invoices(spark, folder, False).drop("invoice_id", "payment_status", "paid_amount")
+    number = F.when(F.col("action") == "CREATE", F.concat("invoice_id", F.lit("-N"))).otherwise(F.col("invoice_id"))
     return source.join(rows, "order_key").select(
         F.col("change_seq"),
-        "invoice_id", "invoice_type", "issue_date", "supplier_tax_id", "total_net",
+        number.alias("invoice_id"), "invoice_type", "issue_date", "supplier_tax_id", "total_net",
         F.coalesce("amount", "total_gross").alias("total_gross"),
         F.lit("nieopłacona").alias("payment_status"), F.lit(0).cast("decimal(18,2)").alias("paid_amount"),
         F.lit(True).alias("is_verified"), F.lit("new").alias("file_path"),

@@ -87,8 +87,9 @@ feed AS (SELECT event_id AS seq, event_id % (SELECT count(*) FROM orders) AS ord
   CASE WHEN event_id % 3 <> 0 THEN CAST(round(CAST(value AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) END AS amount FROM events)"""
 STORE = f"""{CLEAN}, {FEED},
 fed AS (SELECT f.seq, f.order_key, action, amount, invoice_id FROM feed f JOIN clean USING (order_key)),
-store AS (SELECT * FROM clean WHERE payment_method <> 'karta'),
-upd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY seq DESC) AS rn FROM fed WHERE action IN ('CREATE','UPDATE')) WHERE rn = 1)"""
+store AS (SELECT * FROM clean),
+named AS (SELECT * REPLACE (CASE WHEN action = 'CREATE' THEN invoice_id || '-N' ELSE invoice_id END AS invoice_id) FROM fed WHERE action IN ('CREATE','UPDATE')),
+upd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY seq DESC) AS rn FROM named) WHERE rn = 1)"""
 SQL["j14_existing_and_new"] = with_(STORE, "SELECT invoice_id, CASE WHEN invoice_id IN (SELECT invoice_id FROM store) THEN 'update' ELSE 'insert' END AS kind FROM upd")
 SQL["j15_cascade"] = with_(STORE, "SELECT order_key, position, description FROM items WHERE order_key NOT IN (SELECT order_key FROM feed WHERE action = 'DELETE')")
 SQL["j16_language_profile"] = """SELECT doc_id, language, profile, CASE profile WHEN 'Polski' THEN 'pl' WHEN 'Niemiecki' THEN 'de' ELSE 'en' END AS code,
@@ -184,8 +185,9 @@ SQL["k01_upsert"] = with_(STORE, f"""SELECT c.invoice_id, invoice_type, {day('is
   CAST(CASE WHEN u.invoice_id IS NOT NULL THEN COALESCE(amount, total_gross) ELSE total_gross END AS DOUBLE) AS total_gross,
   CASE WHEN u.invoice_id IS NOT NULL THEN 'nieopłacona' ELSE payment_status END AS payment_status,
   CAST(CASE WHEN u.invoice_id IS NOT NULL THEN 0 ELSE paid_amount END AS DOUBLE) AS paid_amount, u.invoice_id IS NOT NULL AS is_verified,
-  CASE WHEN payment_method <> 'karta' THEN 'file-' || file_id ELSE 'new' END AS file_path
-  FROM clean c LEFT JOIN upd u USING (invoice_id) WHERE payment_method <> 'karta' OR u.invoice_id IS NOT NULL""")
+  'file-' || file_id AS file_path FROM clean c LEFT JOIN upd u USING (invoice_id)
+  UNION ALL SELECT u.invoice_id, invoice_type, {day('issue_date')}, supplier_tax_id, CAST(total_net AS DOUBLE), CAST(COALESCE(amount, total_gross) AS DOUBLE),
+  'nieopłacona', 0.0, TRUE, 'new' FROM upd u JOIN clean c USING (order_key) WHERE u.action = 'CREATE'""")
 SQL["k02_items_of_upserts"] = with_(STORE, """SELECT order_key, position, description FROM items WHERE order_key NOT IN (SELECT order_key FROM feed WHERE action IN ('CREATE','UPDATE'))
   UNION ALL SELECT order_key, position - 1, description FROM items WHERE order_key IN (SELECT order_key FROM feed WHERE action IN ('CREATE','UPDATE')) AND position > 1""")
 SQL["k03_delete"] = with_(STORE, f"SELECT invoice_id, {d('total_gross')} FROM store WHERE order_key NOT IN (SELECT order_key FROM feed WHERE action = 'DELETE')")
