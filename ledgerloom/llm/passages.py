@@ -17,8 +17,14 @@ from ledgerloom.session import stored
 
 GRAM, SPACING = 8, 16  # words of the gram whose hash selects a position; one of so many positions is selected
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
-KEYS = "h long, doc_id long, text_key long, pos long"
+KEYS = "h long, doc_id long, text_key long, pos long, around long"
 TEXT = ["doc_id", "text_key"]
+SPOT = [*TEXT, "pos"]
+
+
+def _spot(prefix: str = "") -> Column:
+    """The place of a suffix as a struct; places are ordered, null ids first."""
+    return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in SPOT])
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,16 +39,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Suffixes:
-    """Selected positions of a text and the hash of the ``prefix`` words of the suffix at each."""
+    """Selected positions of a text, the hash of the ``prefix`` words of the suffix at each, and the hash of these with
+    the ``spacing`` - 1 words on both sides (fewer at the ends of the text)."""
 
     def __init__(self, gram: int, spacing: int, prefix: int):
         self.gram, self.spacing, self.prefix = gram, spacing, prefix
         self.ahead, self.back = _powers(1 << 14)
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        n = len(words)
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, none = len(words), np.zeros(0, np.int64)
         if n < self.prefix + self.spacing - 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none, none, none
         if n >= len(self.ahead):
             self.ahead, self.back = _powers(2 * n)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
@@ -55,37 +62,39 @@ class Suffixes:
         windows = sliding_window_view(of(self.gram), self.spacing)
         at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
         at = at[at <= n - self.prefix]
-        return at, of(self.prefix)[at].view(np.int64)
+        begin, end = np.maximum(at - self.spacing + 1, 0), np.minimum(at + self.prefix + self.spacing - 1, n)
+        around = _mixed((total[end] - total[begin]) * self.back[begin])
+        shape = ((at - begin) * self.spacing + (end - at - self.prefix)).astype(np.uint64)
+        return at, of(self.prefix)[at].view(np.int64), _mixed(around + shape).view(np.int64)
 
 
 def suffixes(docs: DataFrame, prefix: int, gram: int, spacing: int) -> DataFrame:
-    """(h, doc_id, text_key, pos): the retained suffixes of each text, with the hash of their first words."""
+    """(h, doc_id, text_key, pos, around): the retained suffixes of each text, with the hash of their first words and
+    that of these and the words around them."""
 
     def cut(frames):
         make = Suffixes(gram, spacing, prefix)
         for part in frames:
             rows = [make(letter_words(t)) for t in part["text"]]
-            count = [len(at) for at, _ in rows]
-            yield pd.DataFrame(
-                {
-                    "h": np.concatenate([h for _, h in rows]) if rows else np.zeros(0, np.int64),
-                    "doc_id": part["doc_id"].astype("Int64").repeat(count).array,
-                    "text_key": np.repeat(part["text_key"].to_numpy(np.int64), count),
-                    "pos": np.concatenate([at for at, _ in rows]) if rows else np.zeros(0, np.int64),
-                }
-            )
+            count = [len(r[0]) for r in rows]
+            at, h, around = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 3
+            ids = part["doc_id"].astype("Int64").repeat(count).array
+            keys = np.repeat(part["text_key"].to_numpy(np.int64), count)
+            yield pd.DataFrame({"h": h, "doc_id": ids, "text_key": keys, "pos": at, "around": around})
 
     return docs.select("doc_id", "text_key", "text").mapInPandas(cut, KEYS)
 
 
 def neighbours(sorted_rows: DataFrame) -> DataFrame:
-    """Each row of the sorted suffixes beside the one before it, where both share their hash.
+    """Each row of the sorted suffixes beside the one before it (p_), where both share their hash.
 
-    Partitions are streamed, so a hash that many suffixes share needs no task of its own. The first and last row of
-    each partition (two rows a partition) are set beside each other afterwards.
+    ``p_around`` is null where the words around are the same too; ``head`` is false where the row before is not
+    the first of its hash. Partitions are streamed, so a hash that many suffixes share needs no task of its own. The
+    first and last row of each partition (two rows a partition) are set beside each other afterwards.
     """
     columns = [c.split()[0] for c in KEYS.split(", ")]
-    schema = f"{KEYS}, p_doc_id long, p_text_key long, p_pos long, edge int, part int"
+    before = [f"p_{c}" for c in columns[1:]]
+    schema = f"{KEYS}, {', '.join(f'{c} long' for c in before)}, head boolean, edge int, part int"
 
     def compare(frames):
         from pyspark import TaskContext
@@ -93,8 +102,9 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
         part, last = TaskContext.get().partitionId(), None
 
         def row(values, edge):
-            out = pd.DataFrame([values], columns=columns).assign(p_doc_id=None, p_text_key=None, p_pos=None)
-            return out.assign(edge=edge, part=part).astype(dict.fromkeys([*columns, "p_doc_id", "p_text_key", "p_pos"], "Int64"))
+            out = pd.DataFrame([values], columns=columns).assign(**dict.fromkeys(before))
+            out = out.astype(dict.fromkeys([*columns, *before], "Int64"))
+            return out.assign(head=True, edge=edge, part=part)
 
         for now in frames:
             if not len(now):
@@ -107,10 +117,10 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
             same = np.flatnonzero(h[1:] == h[:-1])
             if len(same):
                 out = whole.iloc[same + 1].reset_index(drop=True)
-                before = whole.iloc[same].reset_index(drop=True)
-                yield out.assign(
-                    p_doc_id=before["doc_id"], p_text_key=before["text_key"], p_pos=before["pos"], edge=2, part=part
-                )
+                old = whole.iloc[same].reset_index(drop=True)[columns[1:]].set_axis(before, axis=1)
+                old["p_around"] = old["p_around"].mask(old["p_around"] == out["around"])
+                head = (same == 0) | (h[same] != h[same - 1])
+                yield pd.concat([out, old], axis=1).assign(head=head, edge=2, part=part)
             last = now.iloc[-1:]
         if last is not None:
             yield row(last.iloc[0].tolist(), 1)
@@ -118,14 +128,58 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
     both = stored(sorted_rows.mapInPandas(compare, schema), "neighbours")
     ends = both.where("edge < 2")
     order = Window.orderBy("part", "edge")  # two rows a partition
-    lag = {f"p_{c}": F.lag(c).over(order) for c in columns[1:]} | {"p_h": F.lag("h").over(order)}
-    across = ends.drop("p_doc_id", "p_text_key", "p_pos").withColumns(lag).where("edge = 0 and h = p_h")
-    names = [*columns[1:], "p_doc_id", "p_text_key", "p_pos"]
+    lag = {f"p_{c}": F.lag(c).over(order) for c in columns}
+    across = ends.drop(*before).withColumns(lag).where("edge = 0 and h = p_h")
+    across = across.withColumn("p_around", F.nullif("p_around", "around"))
+    names = [*columns, *before, "head"]
     pairs = both.where("edge = 2").select(*names).unionByName(across.select(*names))
     same = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("text_key") == F.col("p_text_key")) & (F.col("pos") == F.col("p_pos"))
     return pairs.where(~same)  # a row that repeats
 
 
+def _firsts(near: DataFrame) -> DataFrame:
+    """(h, around, first): of suffixes that share a hash but differ in the words around, the first (doc_id, text_key,
+    pos) of each kind.
+
+    In order, the first of a kind either comes right after another kind or opens its hash, so only those rows are
+    looked at; a kind that is alone in its hash is left out.
+    """
+    mixed = F.col("p_around").isNotNull()
+    rows = near.where(mixed).select("h", "around", _spot().alias("at"), F.lit(True).alias("mixed"))
+    heads = near.where(mixed | F.col("head")).select("h", F.coalesce("p_around", "around").alias("around"), _spot("p_").alias("at"), mixed.alias("mixed"))
+    kinds = rows.unionByName(heads).groupBy("h", "around").agg(F.min("at").alias("first"), F.max("mixed").alias("mixed"))
+    return kinds.where("mixed").drop("mixed")
+
+
+def _repeated_windows(firsts: DataFrame, around: DataFrame, prefix: int, least: int) -> DataFrame:
+    """Matches between the first suffixes of different kinds: (doc_id, text_key, start, stop, p_doc_id, p_start).
+
+    Every window of ``least`` words around a suffix is set beside its first occurrence: a minimum, combined before
+    the shuffle. Windows on one diagonal of two texts that overlap are one match.
+    """
+    beside = least - prefix
+    shifts = F.filter(
+        F.sequence(F.lit(0), F.lit(beside)), lambda o: (o <= F.size("left")) & (beside - o <= F.size("right"))
+    )
+    key = F.xxhash64("body", F.slice("left", 1, F.col("o")), F.slice("right", 1, beside - F.col("o")), "o")
+    rows = firsts.join(around, "run").withColumn("o", F.explode(shifts))
+    rows = rows.select(*TEXT, (F.col("pos") - F.col("o")).alias("pos"), key.alias("key"))
+    least_at = rows.groupBy("key").agg(F.min(_spot()).alias("first"))
+    met = rows.join(least_at, "key").where(_spot() != F.col("first"))
+    met = met.select(*SPOT, *[F.col(f"first.{c}").alias(f"p_{c}") for c in SPOT]).distinct()
+    return _runs(met, least)
+
+
+def _runs(pairs: DataFrame, size: int) -> DataFrame:
+    """Equal stretches of ``size`` words on one diagonal of two texts, joined where they overlap or touch."""
+    pair = [*TEXT, "p_doc_id", "p_text_key", "diagonal"]
+    along = Window.partitionBy(*pair).orderBy("pos")  # within one text
+    rows = pairs.withColumn("diagonal", F.col("pos") - F.col("p_pos"))
+    rows = rows.withColumn("gap", F.coalesce(F.col("pos") - F.lag("pos").over(along) > size, F.lit(True)).cast("int"))
+    rows = rows.withColumn("piece", F.sum("gap").over(along))
+    return rows.groupBy(*pair, "piece").agg(F.min("pos").alias("start"), (F.max("pos") + size).alias("stop"))
+
+
 def _contexts(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     """For each run of ``wanted`` (run, side, doc_id, text_key, start, stop): a digest of its words and hashes of up
     to ``reach`` words before (nearest first) and after it."""
@@ -173,8 +227,12 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = GRAM, spacin
     3. Neighbours on one diagonal of two texts are one match; its words are compared in full by digest, and it is
     extended word by word to the left and the right, where the texts differ or after as many words as the key has.
     4. Matches of at least ``least`` words count. Each suffix meets the occurrence before it, so copies make as many
-    matches as there are copies; if a text between shares only part of a passage, both parts are matches of
-    their own, each extended over the border.
+    matches as there are copies.
+    5. The occurrence before may share less of a passage than an earlier one. So suffixes of one hash are told apart by
+    the words around them, as many as a passage can reach beyond the key. A suffix after one of another kind is also
+    set beside the first of its own kind, and the windows of ``least`` words around the first suffix of each kind
+    beside their first occurrence. With that, every word of every repeated passage is in a row (but for collisions
+    of 64-bit hashes, which can only lose, never add); rows of a text may overlap.
 
     Only narrow rows are sorted; whole texts move once, to meet their matches. Texts of fewer than ``least`` words,
     null and empty ones have no rows. Rows of equal id and text are one text. Other columns are not used.
@@ -186,18 +244,21 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = GRAM, spacin
     kept = stored(suffixes(slim, prefix, gram, spacing), "suffixes")
     order = ["h", *TEXT, "pos"]
     near = neighbours(kept.repartitionByRange(*order).sortWithinPartitions(*order))
-    pair = [*TEXT, "p_doc_id", "p_text_key", "diagonal"]
-    along = Window.partitionBy(*pair).orderBy("pos")  # within one text
-    runs = near.withColumn("diagonal", F.col("pos") - F.col("p_pos"))
-    runs = runs.withColumn("gap", F.coalesce(F.col("pos") - F.lag("pos").over(along) > prefix, F.lit(True)).cast("int"))
-    runs = runs.withColumn("piece", F.sum("gap").over(along))
-    runs = runs.groupBy(*pair, "piece").agg(F.min("pos").alias("start"), (F.max("pos") + prefix).alias("stop"))
-    runs = stored(runs.withColumn("run", F.monotonically_increasing_id()), "runs")
+    firsts = _firsts(near).withColumn("run", F.monotonically_increasing_id())
+    firsts = stored(firsts.select("run", "h", "around", "first.*"), "firsts")
+    before = [f"p_{c}" for c in SPOT]
+    own = firsts.select("h", "around", *[F.col(c).alias(b) for c, b in zip(SPOT, before, strict=True)])
+    own = near.where("p_around is not null").select("h", "around", *SPOT).join(own, ["h", "around"])
+    own = own.where(_spot() != _spot("p_"))
+    met = near.select(*SPOT, *before).unionByName(own.select(*SPOT, *before)).distinct()
+    runs = stored(_runs(met, prefix).withColumn("run", F.monotonically_increasing_id()), "runs")
     later = runs.select("run", F.lit(0).alias("side"), *TEXT, "start", "stop")
     earlier = runs.select(
         "run", F.lit(1), F.col("p_doc_id"), F.col("p_text_key"), F.col("start") - F.col("diagonal"), F.col("stop") - F.col("diagonal")
     ).toDF(*later.columns)
-    around = stored(_contexts(slim, later.unionByName(earlier), prefix - 1).dropDuplicates(["run", "side"]), "contexts")
+    alone = firsts.select("run", F.lit(2), *TEXT, "pos", F.col("pos") + prefix).toDF(*later.columns)
+    wanted = later.unionByName(earlier).unionByName(alone)
+    around = stored(_contexts(slim, wanted, max(prefix, spacing) - 1).dropDuplicates(["run", "side"]), "contexts")
     mine, other = around.where("side = 0").alias("m"), around.where("side = 1").alias("o")
     both = mine.join(other, (F.col("m.run") == F.col("o.run")) & (F.col("m.body") == F.col("o.body")))
     both = both.select("m.run", _agree(F.col("m.left"), F.col("o.left")).alias("l"), _agree(F.col("m.right"), F.col("o.right")).alias("r"))
@@ -206,7 +267,17 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = GRAM, spacin
         "doc_id", (F.col("start") - F.col("l")).alias("start"), (F.col("stop") - F.col("start") + F.col("l") + F.col("r")).alias("length"),
         F.col("p_doc_id").alias("source_doc_id"), (F.col("start") - F.col("diagonal") - F.col("l")).alias("source_start"), "text_key",
     )
-    return out.where(F.col("length") >= least)
+    out = out.where(F.col("length") >= least)
+    more = _repeated_windows(firsts.drop("h", "around"), around.where("side = 2").drop("side"), prefix, least)
+    more = more.select(
+        "doc_id", "start", (F.col("stop") - F.col("start")).alias("length"), F.col("p_doc_id").alias("source_doc_id"),
+        (F.col("start") - F.col("diagonal")).alias("source_start"), "text_key",
+    )
+    both = out.withColumn("kind", F.lit(0)).unionByName(more.withColumn("kind", F.lit(1)))
+    so_far = Window.partitionBy(*TEXT).orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("start") + F.col("length")
+    both = both.withColumn("covered", F.max(F.when(F.col("kind") == 0, end)).over(so_far))
+    return both.where((F.col("kind") == 0) | F.col("covered").isNull() | (F.col("covered") < end)).drop("kind", "covered")
 
 
 def remove_passages(docs: DataFrame, least: int = 50) -> DataFrame:
