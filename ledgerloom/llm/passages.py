@@ -180,9 +180,9 @@ def _runs(pairs: DataFrame, size: int) -> DataFrame:
     return rows.groupBy(*pair, "piece").agg(F.min("pos").alias("start"), (F.max("pos") + size).alias("stop"))
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
+def _contexts(docs: DataFrame, wanted: DataFrame, reach: int, reach_alone: int) -> DataFrame:
     """For each run of ``wanted`` (run, side, doc_id, text_key, start, stop): a digest of its words and hashes of up
-    to ``reach`` words before (nearest first) and after it."""
+    to ``reach`` words before (nearest first) and after it, ``reach_alone`` for side 2."""
     asked = wanted.groupBy(*TEXT).agg(F.collect_list(F.struct("run", "side", "start", "stop")).alias("asked"))
     d, t = "a_doc_id", "a_text_key"
     asked = asked.withColumnsRenamed({"doc_id": d, "text_key": t})
@@ -199,9 +199,9 @@ def _contexts(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
                     return [xxhash.xxh64_intdigest(w, 1) >> 1 for w in some]
 
                 for r in runs:
-                    a, b = r["start"], r["stop"]
+                    a, b, far = r["start"], r["stop"], reach_alone if r["side"] == 2 else reach
                     body = hashlib.md5(b" ".join(words[a:b])).digest()
-                    out.append((r["run"], r["side"], body, codes(words[max(0, a - reach) : a][::-1]), codes(words[b : b + reach])))
+                    out.append((r["run"], r["side"], body, codes(words[max(0, a - far) : a][::-1]), codes(words[b : b + far])))
             yield pd.DataFrame(out, columns=["run", "side", "body", "left", "right"])
 
     return texts.mapInPandas(cut, "run long, side int, body binary, left array<long>, right array<long>")
@@ -231,7 +231,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = GRAM, spacin
     5. The occurrence before may share less of a passage than an earlier one. So suffixes of one hash are told apart by
     the words around them, as many as a passage can reach beyond the key. A suffix after one of another kind is also
     set beside the first of its own kind, and the windows of ``least`` words around the first suffix of each kind
-    beside their first occurrence. With that, every word of every repeated passage is in a row (but for collisions
+    beside their first occurrence, if there are three kinds or more (before the first suffix of the second of two
+    kinds stands the first kind). With that, every word of every repeated passage is in a row (but for collisions
     of 64-bit hashes, which can only lose, never add); rows of a text may overlap.
 
     Only narrow rows are sorted; whole texts move once, to meet their matches. Texts of fewer than ``least`` words,
@@ -256,9 +257,10 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = GRAM, spacin
     earlier = runs.select(
         "run", F.lit(1), F.col("p_doc_id"), F.col("p_text_key"), F.col("start") - F.col("diagonal"), F.col("stop") - F.col("diagonal")
     ).toDF(*later.columns)
-    alone = firsts.select("run", F.lit(2), *TEXT, "pos", F.col("pos") + prefix).toDF(*later.columns)
+    many = firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 2").select("h")
+    alone = firsts.join(many, "h", "left_semi").select("run", F.lit(2), *TEXT, "pos", F.col("pos") + prefix).toDF(*later.columns)
     wanted = later.unionByName(earlier).unionByName(alone)
-    around = stored(_contexts(slim, wanted, max(prefix, spacing) - 1).dropDuplicates(["run", "side"]), "contexts")
+    around = stored(_contexts(slim, wanted, prefix - 1, spacing - 1).dropDuplicates(["run", "side"]), "contexts")
     mine, other = around.where("side = 0").alias("m"), around.where("side = 1").alias("o")
     both = mine.join(other, (F.col("m.run") == F.col("o.run")) & (F.col("m.body") == F.col("o.body")))
     both = both.select("m.run", _agree(F.col("m.left"), F.col("o.left")).alias("l"), _agree(F.col("m.right"), F.col("o.right")).alias("r"))
