@@ -164,7 +164,8 @@ def _repeated_windows(firsts: DataFrame, around: DataFrame, prefix: int, least:
     key = F.xxhash64("body", F.slice("left", 1, F.col("o")), F.slice("right", 1, beside - F.col("o")), "o")
     rows = firsts.join(around, "run").withColumn("o", F.explode(shifts))
     rows = rows.select(*TEXT, (F.col("pos") - F.col("o")).alias("pos"), key.alias("key"))
-    least_at = rows.groupBy("key").agg(F.min(_spot()).alias("first"))
+    least_at = rows.groupBy("key").agg(F.min(_spot()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    least_at = stored(least_at, "first-windows")  # as above: a window that many texts share can be split
     met = rows.join(least_at, "key").where(_spot() != F.col("first"))
     met = met.select(*SPOT, *[F.col(f"first.{c}").alias(f"p_{c}") for c in SPOT]).distinct()
     return _runs(met, least)
@@ -257,7 +258,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = GRAM, spacin
     earlier = runs.select(
         "run", F.lit(1), F.col("p_doc_id"), F.col("p_text_key"), F.col("start") - F.col("diagonal"), F.col("stop") - F.col("diagonal")
     ).toDF(*later.columns)
-    many = firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 2").select("h")
+    # written, so that the join reads two plain shuffles and adaptive execution can split a hash with many kinds
+    many = stored(firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 2").select("h"), "many-kinds")
     alone = firsts.join(many, "h", "left_semi").select("run", F.lit(2), *TEXT, "pos", F.col("pos") + prefix).toDF(*later.columns)
     wanted = later.unionByName(earlier).unionByName(alone)
     around = stored(_contexts(slim, wanted, prefix - 1, spacing - 1).dropDuplicates(["run", "side"]), "contexts")
