@@ -9,6 +9,7 @@ from ledgerloom.llm.common import fresh
 from ledgerloom.session import stored
 
 GRAM, WINDOW = 2, 2  # lines of a fingerprint, fingerprints of a window: a run of 3 lines always shares one
+LONG = 50  # words that make a shorter run one to delete, where asked for
 
 
 def _windows(text: Column, gram: int, window: int) -> Column:
@@ -44,10 +45,24 @@ def _windows(text: Column, gram: int, window: int) -> Column:
     return F.flatten(F.transform(F.transform(F.array(hashed), grams), cut))
 
 
-def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def _long_windows(text: Column, run: int, words: int) -> Column:
+    """The windows of ``run`` lines that hold ``words`` words or more, like ``_windows``; shorter ones end in their row."""
+    count = F.transform(F.split(text, "\n", -1), lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")))
+
+    def kept(counts: Column) -> Column:
+        total = lambda at: F.aggregate(at, F.lit(0), lambda n, i: n + F.get(counts, i))
+        return F.filter(_windows(text, run, 1), lambda w: total(w["at"]) >= words)
+
+    # the number of lines keeps these fingerprints apart from those of other windows
+    own = lambda w: w.withField("fp", F.xxhash64(w["fp"], F.lit(run)))
+    return F.flatten(F.transform(F.array(count), lambda c: F.transform(kept(c), own)))
+
+
+def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long: int | None = None) -> DataFrame:
     """(doc_id, text_key, removed): for each text with lines to delete, their places (from 0) in order.
 
-    A run is ``gram + window - 1`` consecutive lines that are not empty, or more. Of equal runs the one in the
+    A run is ``gram + window - 1`` consecutive lines that are not empty, or more; with ``long`` also fewer lines that
+    hold so many words together. The first place of a line always stays. Of equal runs the one in the
     smallest doc_id (null first), there the first, is kept; each other one is deleted. A run that overlaps its
     first occurrence in the same text is none. Rows of equal doc_id and text are one text.
 
@@ -57,7 +72,9 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> D
     minimum, again combined before the shuffle, and all places join it. Overlapping windows join to longer runs.
     """
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    cut = F.explode(_windows(F.col("text").cast("string"), gram, window)).alias("w")
+    text, run = F.col("text").cast("string"), gram + window - 1
+    kinds = [_windows(text, gram, window)] + [_long_windows(text, n, long) for n in range(1, run) if long is not None]
+    cut = F.explode(F.concat(*kinds)).alias("w")
     places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), cut).select("doc_id", "text_key", "w.*")
     places = stored(places, "windows")
     # The same text twice under one id is one text, so its places must not count as two.
@@ -67,19 +84,18 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> D
     shared = seen.where("a != b").select("fp")
     near = stored(places.join(shared, "fp", "left_semi").drop("fp"), "shared-windows")
     first = near.groupBy("lines").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("first"))
-    run = gram + window - 1
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))
-    later = near.join(first, "lines").where(~same | (F.col("n") >= F.col("first.n") + run))
+    later = near.join(first, "lines").where(~same | (F.col("n") >= F.col("first.n") + F.size("lines")))
     return later.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("removed"))
 
 
-def dedupe_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def dedupe_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long: int | None = None) -> DataFrame:
     """``docs`` without later repeated runs of lines; all rows and columns stay, only ``text`` changes.
 
-    Null and empty texts, texts of fewer lines than a run and empty lines stay as they are; rows that repeat get
+    Null and empty texts, texts without a run and empty lines stay as they are; rows that repeat get
     the same text; an empty table gives an empty result.
     """
-    return _cut(docs, gram, window).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _cut(docs, gram, window, long=long).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -91,9 +107,9 @@ def line_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     return out.select("doc_id", "n_lines", F.col("n_removed").cast("long").alias("n_removed"), "text")
 
 
-def _cut(docs: DataFrame, gram: int, window: int, count: str = "") -> DataFrame:
+def _cut(docs: DataFrame, gram: int, window: int, count: str = "", long: int | None = None) -> DataFrame:
     doc, key, removed = fresh(docs, "r_doc", "r_key", "removed")
-    found = repeated_lines(docs.select("doc_id", "text"), gram, window).toDF(doc, key, removed)
+    found = repeated_lines(docs.select("doc_id", "text"), gram, window, long).toDF(doc, key, removed)
     match = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.md5(F.coalesce("text", F.lit(""))) == F.col(key))
     lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))

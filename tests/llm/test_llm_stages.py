@@ -56,3 +56,28 @@ def test_near_duplicates_by_jaccard(spark):
     assert 60 < len(want) < 100
     assert kept.count() == dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs.union(docs), "").count()
     assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs.limit(0), "").count() == 0
+
+
+def test_long_lines(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randint(3, 6)))
+    line = lambda n: (" " if n % 2 else "  ").join(word() for _ in range(n))
+    shared = [line(n) for n in (1, 9, 20, 25, 30, 49, 50, 51, 80)]
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, shared[-1]), (5, shared[-1]), (6, "\n".join([shared[-2]] * 4)), (7, shared[0])]
+    for k in range(80):
+        rows.append((10 + k, rnd.choice(["\n", "\n\n"]).join(rnd.choice(shared) if rnd.random() < 0.6 else line(rnd.randint(1, 60)) for _ in range(rnd.randint(1, 5)))))
+    first, gone = {}, {}
+    for doc, text in rows:
+        split = [(i, x) for i, x in enumerate((text or "").split("\n")) if x]
+        for size in (1, 2, 3):
+            for n in range(len(split) - size + 1):
+                run = tuple(x for _, x in split[n : n + size])
+                if size == 3 or sum(len(x.split()) for x in run) >= 50:
+                    at = first.setdefault(run, (doc, n))
+                    if at[0] != doc or n >= at[1] + size:
+                        gone.setdefault(doc, set()).update(i for i, _ in split[n : n + size])
+    want = {d: t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, t in rows}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
+    assert got == want
+    assert got[5] == "" and got[7] == shared[0] and sum(map(len, gone.values())) > 20
