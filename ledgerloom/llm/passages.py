@@ -17,6 +17,7 @@ from ledgerloom.session import stored
 
 GRAM, SPACING = 8, 16  # words of the gram whose hash selects a position; one of so many positions is selected
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
+PART, BATCH = 2048, 1000  # words of a text whose stretches are cut together, stretches that leave a worker together
 KEYS = "h long, doc_id long, text_key long, pos long, around long"
 TEXT = ["doc_id", "text_key"]
 SPOT = [*TEXT, "pos"]
@@ -183,29 +184,51 @@ def _runs(pairs: DataFrame, size: int) -> DataFrame:
 
 def _contexts(docs: DataFrame, wanted: DataFrame, reach: int, reach_alone: int) -> DataFrame:
     """For each run of ``wanted`` (run, side, doc_id, text_key, start, stop): a digest of its words and hashes of up
-    to ``reach`` words before (nearest first) and after it, ``reach_alone`` for side 2."""
-    asked = wanted.groupBy(*TEXT).agg(F.collect_list(F.struct("run", "side", "start", "stop")).alias("asked"))
+    to ``reach`` words before (nearest first) and after it, ``reach_alone`` for side 2.
+
+    A stretch that many runs ask for is cut once and joined to them. The stretches of a text are dealt out by the ``PART``
+    words that they start and stop in, which bounds a row whatever asks, and leave the worker ``BATCH`` at a time.
+    """
+    wanted = wanted.withColumn("far", F.when(F.col("side") == 2, reach_alone).otherwise(reach))
+    place = [*TEXT, "start", "stop", "far"]
+    parts = [F.floor(F.col(c) / PART).alias(f"{c}_part") for c in ("start", "stop")]
+    asked = wanted.select(*place).distinct().groupBy(*TEXT, *parts).agg(F.collect_list(F.struct("start", "stop", "far")).alias("asked"))
+    asked = stored(asked.select(*TEXT, "asked"), "asked")  # written, so that a text with many parts can be split
     d, t = "a_doc_id", "a_text_key"
     asked = asked.withColumnsRenamed({"doc_id": d, "text_key": t})
     match = docs["doc_id"].eqNullSafe(asked[d]) & (docs["text_key"] == asked[t])
-    texts = docs.join(asked, match).select("text", "asked")
+    texts = docs.join(asked, match).select("text", *TEXT, "asked")
 
     def cut(frames):
-        for part in frames:
-            out = []
-            for text, runs in zip(part["text"], part["asked"], strict=True):
-                words = letter_words(text)
+        def codes(some):
+            return [xxhash.xxh64_intdigest(w, 1) >> 1 for w in some]
 
-                def codes(some):
-                    return [xxhash.xxh64_intdigest(w, 1) >> 1 for w in some]
+        def frame(out):
+            made = pd.DataFrame(out, columns=[*place, "body", "left", "right"])
+            return made.astype({"doc_id": "Int64"})
 
+        out = []
+        for rows in frames:
+            ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"].astype("Int64")]
+            for text, doc, key, runs in zip(rows["text"], ids, rows["text_key"], rows["asked"], strict=True):
+                words = letter_words(text)
                 for r in runs:
-                    a, b, far = r["start"], r["stop"], reach_alone if r["side"] == 2 else reach
+                    a, b, far = r["start"], r["stop"], r["far"]
                     body = hashlib.md5(b" ".join(words[a:b])).digest()
-                    out.append((r["run"], r["side"], body, codes(words[max(0, a - far) : a][::-1]), codes(words[b : b + far])))
-            yield pd.DataFrame(out, columns=["run", "side", "body", "left", "right"])
-
-    return texts.mapInPandas(cut, "run long, side int, body binary, left array<long>, right array<long>")
+                    out.append((doc, key, a, b, far, body, codes(words[max(0, a - far) : a][::-1]), codes(words[b : b + far])))
+                    if len(out) >= BATCH:
+                        yield frame(out)
+                        out = []
+        if out:
+            yield frame(out)
+
+    schema = "doc_id long, text_key long, start long, stop long, far int, body binary, left array<long>, right array<long>"
+    # rows that repeat are one text, so their stretches are cut more than once
+    found = stored(texts.mapInPandas(cut, schema).dropDuplicates(place), "stretches")
+    found = found.withColumnRenamed("doc_id", d)
+    rest = [c for c in place if c != "doc_id"]
+    both = wanted.join(found, [F.col("doc_id").eqNullSafe(F.col(d)), *[wanted[c] == found[c] for c in rest]])
+    return both.select("run", "side", "body", "left", "right")
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -262,7 +285,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = GRAM, spacin
     many = stored(firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 2").select("h"), "many-kinds")
     alone = firsts.join(many, "h", "left_semi").select("run", F.lit(2), *TEXT, "pos", F.col("pos") + prefix).toDF(*later.columns)
     wanted = later.unionByName(earlier).unionByName(alone)
-    around = stored(_contexts(slim, wanted, prefix - 1, spacing - 1).dropDuplicates(["run", "side"]), "contexts")
+    around = stored(_contexts(slim, wanted, prefix - 1, spacing - 1), "contexts")
     mine, other = around.where("side = 0").alias("m"), around.where("side = 1").alias("o")
     both = mine.join(other, (F.col("m.run") == F.col("o.run")) & (F.col("m.body") == F.col("o.body")))
     both = both.select("m.run", _agree(F.col("m.left"), F.col("o.left")).alias("l"), _agree(F.col("m.right"), F.col("o.right")).alias("r"))

@@ -1,9 +1,11 @@
 """Stages of the pipeline beside plain loops."""
 
+import hashlib
 import random
 from itertools import combinations
 
 import corpus_pipeline
+from ledgerloom.llm import passages
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -81,3 +83,29 @@ def test_long_lines(spark):
     got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
     assert got == want
     assert got[5] == "" and got[7] == shared[0] and sum(map(len, gone.values())) > 20
+
+
+def test_stretches_are_cut_once(spark, monkeypatch):
+    """A stretch that many runs ask for is cut once and given to each of them, whatever its text's rows."""
+    words = [f"w{i}" for i in range(9_000)]
+    rows = [(None, 7, " ".join(words)), (3, 8, " ".join(words[::-1])), (3, 8, " ".join(words[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text_key long, text string")
+    at = [(None, 7, 10, 60), (None, 7, 8_000, 8_035), (3, 8, 0, 35)]
+    wanted = [(3 * n + k, n % 3, *place) for n in range(900) for k, place in enumerate(at)]
+    asked = spark.createDataFrame(wanted, "run long, side int, doc_id long, text_key long, start long, stop long")
+    seen, stored = {}, passages.stored
+
+    def watched(frame, name):
+        seen[name] = stored(frame, name)
+        return seen[name]
+
+    monkeypatch.setattr(passages, "stored", watched)
+    got = {(r.run, r.side): r for r in passages._contexts(docs, asked, 34, 15).collect()}
+    assert len(got) == len(wanted)
+    for run, side, doc, _, start, stop in wanted:
+        text, far = (words if doc is None else words[::-1]), 15 if side == 2 else 34
+        r = got[run, side]
+        assert bytes(r.body) == hashlib.md5(" ".join(text[start:stop]).encode()).digest()
+        assert (len(r.left), len(r.right)) == (min(far, start), far)
+    assert seen["stretches"].count() == 6  # three stretches with two reaches
+    assert max(len(r.asked) for r in seen["asked"].collect()) <= 2
