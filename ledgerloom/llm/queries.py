@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, lines, packing, passages, shards, simhash, tokens, toxicity, vectors, warc
+from ledgerloom.llm import (
+    decontaminate,
+    lines,
+    packing,
+    passages,
+    runs,
+    search,
+    shards,
+    simhash,
+    styletree,
+    tokens,
+    toxicity,
+    vectors,
+    warc,
+)
 from ledgerloom.sources.tables import table
 
 
@@ -69,6 +83,20 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_style_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return styletree.extract_main(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, folder, "documents").select("doc_id", "text"), plant=True, full=False)
+    names = ["n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    return found.select("doc_id", *[f"found.{c}" for c in names])
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_cover_tree, op2_decontaminate, op3_toxicity, op4_interleave, op5_passages, op6_packing, op7_token_counts,
-        op8_warc, op9_line_dedup, op10_simhash, pipeline,
+        op8_warc, op9_line_dedup, op10_simhash, op11_style_tree, op12_periodic_runs, op13_ranked_search, pipeline,
     )
 }
 
@@ -151,4 +179,24 @@ SQL = {
                CASE WHEN l IS NULL THEN NULL ELSE coalesce(left_over.text, '') END text
         FROM split LEFT JOIN lost USING (doc_id) LEFT JOIN left_over USING (doc_id)
     """,
+    "op13_ranked_search": r"""
+        WITH doc AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w FROM documents
+        ), item AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t FROM benchmark
+        ), total AS (SELECT count(*) n_docs, sum(len(w))::BIGINT n_words FROM doc WHERE len(w) > 0),
+        tf AS (
+            SELECT doc_id, 25 + (75 * len(w) * n_docs) // n_words m, t, count(*) tf
+            FROM doc, total, unnest(w) u(t) WHERE t IN (SELECT t FROM item) GROUP BY ALL
+        ), weight AS (
+            SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT w FROM tf, total GROUP BY t, n_docs
+        ), scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT score
+            FROM item JOIN tf USING (t) JOIN weight USING (t) GROUP BY item_id, doc_id
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 10
+    """,
 }
