@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -25,9 +24,8 @@ from ledgerloom.session import stored
 
 VOCABULARY = 8192  # terms of the queries that are searched together; more queries take another pass
 BLOCK, ENTRIES = 16_384, 1 << 21  # documents of a trie, and terms in them, at most (one document more may go over)
-LEAF = 32  # documents of a subtree that is not split further, unless they are equal
+LEAF = 64  # documents of a subtree that is not split further, unless they are equal
 K1000, SHARE, SCALE = 1000, 75, 1_000_000_000
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 def query_blocks(queries: DataFrame, vocabulary: int) -> list[list[tuple[int | None, Counter]]]:
@@ -74,31 +72,30 @@ def vectors(docs: DataFrame, vocabulary: dict[bytes, int], key: str, text: str)
     return found.select("doc_id", "v.n", "v.terms", "v.counts")
 
 
-def part_scores(weight, tf, m):
-    """w * ((10^9 tf) div (1000 tf + 8 m)), which grows with tf and falls with m."""
-    return weight * ((SCALE * tf) // (K1000 * tf + 8 * m))
+def per_weight(tf, m):
+    """(10^9 tf) div (1000 tf + 8 m), below a million: what a term adds to a score for each unit of its weight. It grows
+    with tf and falls with m."""
+    return ((SCALE * tf) // (K1000 * tf + 8 * m)).astype(np.int32)
 
 
 @dataclass
 class Trie:
     """Documents in the order of their vectors, and the subtrees of their trie that branch.
 
-    ``terms``/``counts`` hold the vectors one after the other, ``start`` where each begins. Of node k, ``low[k]`` and
-    ``high[k]`` are its documents, ``children[k]`` its nodes, none of a leaf; ``most[k]`` the largest count of each
-    term and ``least[k]`` the smallest m below it.
+    ``terms`` and ``units`` (see ``per_weight``) hold the vectors one after the other, ``start`` where each begins. Of node
+    k, ``low[k]`` and ``high[k]`` are its documents, ``children[k]`` its nodes, none of a leaf, and ``most[k]`` has for
+    each term ``per_weight`` of the largest count and the smallest m below it, zero if no document there holds it.
     """
 
     ids: np.ndarray
     named: np.ndarray
-    m: np.ndarray
     terms: np.ndarray
-    counts: np.ndarray
+    units: np.ndarray
     start: np.ndarray
     low: list[int]
     high: list[int]
     children: list[list[int]]
     most: np.ndarray
-    least: np.ndarray
 
 
 def grow(ids: np.ndarray, named: np.ndarray, m: np.ndarray, vectors_: list[tuple[np.ndarray, np.ndarray]], rank: np.ndarray) -> Trie:
@@ -165,7 +162,10 @@ def grow(ids: np.ndarray, named: np.ndarray, m: np.ndarray, vectors_: list[tuple
             a, b = start[low[node]], start[high[node]]
             np.maximum.at(most[node], terms[a:b], counts[a:b].astype(np.int32))
             least[node] = m[low[node] : high[node]].min()
-    return Trie(ids[order], named[order], m, terms, counts, start, low, high, children, most, least)
+    for node in range(len(low)):  # row by row, in place
+        most[node] = per_weight(most[node].astype(np.int64), least[node])
+    units = per_weight(counts, np.repeat(m, size))
+    return Trie(ids[order], named[order], terms, units, start, low, high, children, most)
 
 
 def best(trie: Trie, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray, top: list, k: int) -> int:
@@ -173,7 +173,7 @@ def best(trie: Trie, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray,
 
     ``dense`` is a zeroed array over all terms for the query's weights. Returns the number of documents scored.
     """
-    bound = part_scores(weights, trie.most[:, terms].astype(np.int64), trie.least[:, None]).sum(axis=1)
+    bound = (trie.most[:, terms] * weights).sum(axis=1).tolist()
     dense[terms] = weights
     scored, todo = 0, [0]
     while todo:
@@ -184,11 +184,8 @@ def best(trie: Trie, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray,
             todo += sorted(trie.children[node], key=bound.__getitem__)  # the best is taken first
             continue
         low, high = trie.low[node], trie.high[node]
-        a, b = trie.start[low], trie.start[high]
-        size = np.diff(trie.start[low : high + 1])
-        parts = part_scores(dense[trie.terms[a:b]], trie.counts[a:b], np.repeat(trie.m[low:high], size))
-        total = np.concatenate(([0], np.cumsum(parts)))
-        scores = total[trie.start[low + 1 : high + 1] - a] - total[trie.start[low:high] - a]
+        begin = trie.start[low:high]  # no vector is empty
+        scores = np.add.reduceat(dense[trie.terms[begin[0] : trie.start[high]]] * trie.units[begin[0] : trie.start[high]], begin - begin[0])
         scored += high - low
         for i in np.flatnonzero(scores >= (top[0][0] if len(top) == k else 1)).tolist():
             one = (int(scores[i]), bool(trie.named[low + i]), -int(trie.ids[low + i]))
