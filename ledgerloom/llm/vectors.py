@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import components
 from ledgerloom.session import stored
 
-SLACK = 1e-9  # on bounds of distances, above the rounding of double precision
+SLACK = 2e-7  # on bounds of distances: the root of a difference of cosines is off by up to 3e-8 near zero
 LEAF = 16  # points of a node that is not split further
 
 
@@ -31,7 +31,8 @@ class CoverTree:
     """Nested nets over unit vectors: children of a node of radius r cover its points within r / 2.
 
     ``points`` of a node are all below it, ``radius`` is the measured distance of the farthest from its centre, which
-    is one of them. A node of few points, or of one place, is a leaf.
+    is one of them. A node of few points, or of one place (within ``SLACK``), is a leaf, so every child has fewer points
+    than its parent and growing ends.
     """
 
     def __init__(self, vectors: np.ndarray):
@@ -49,6 +50,7 @@ class CoverTree:
 
     def _grow(self, points: np.ndarray, level: float) -> int:
         away = _distances(self.vectors[points], self.vectors[points[:1]])[:, 0]
+        away[0] = 0.0
         root = self._node(points, float(away.max()))
         todo = [(root, level)]
         while todo:
@@ -56,13 +58,13 @@ class CoverTree:
             points, half = self.points[node], level / 2
             if len(points) <= LEAF or self.radius[node] <= SLACK:
                 continue
-            while half >= self.radius[node]:
+            while half >= self.radius[node] - SLACK / 2:  # the farthest point is outside, however its distance is rounded
                 half /= 2
             kids, rest = [], points
             while len(rest):  # a greedy net: centres are more than half a level apart
                 away = _distances(self.vectors[rest], self.vectors[rest[:1]])[:, 0]
+                away[0] = 0.0
                 near = away <= half
-                near[0] = True
                 kids.append(self._node(rest[near], float(away[near].max())))
                 rest = rest[~near]
             self.children[node] = np.array(kids)
@@ -168,10 +170,10 @@ def links(a: CoverTree, b: CoverTree, weight_a: np.ndarray, weight_b: np.ndarray
     return count_a, count_b, roots
 
 
-def _cells(classes: DataFrame, block: int, groups: int = 32, sample: int = 256):
+def _cells(classes: DataFrame, block, groups: int = 32, sample: int = 256):
     """A skeleton for the largest groups: the first levels of a cover tree over a bounded sample of each.
 
-    At most ``groups`` groups of more than ``block`` vectors and ``sample`` vectors of each, those of the smallest
+    At most ``groups`` groups of more than ``block`` (a Column of ``dim``) vectors and ``sample`` vectors of each, those of the smallest
     hashes. Only the order in which vectors are put into blocks depends on it.
     """
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > block)
@@ -228,8 +230,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, budget: int = 1 <<
     classes = good.groupBy("label", "e").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = stored(classes.withColumns({"cid": F.monotonically_increasing_id(), "dim": F.size("e")}), "classes")
 
-    widest = classes.agg(F.max("dim")).first()[0] or 1
-    block = max(64, budget // widest)
+    block = F.greatest(F.lit(64), F.floor(F.lit(budget) / F.col("dim"))).cast("long")
     skeleton = classes.sparkSession.sparkContext.broadcast(_cells(classes, block))
 
     @F.pandas_udf("long")
