@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import fresh, letter_words
 from ledgerloom.llm.tokens import kept
+from ledgerloom.session import stored
 
 BUCKETS = 1 << 20  # hashed features
 STEMS = (4, 5, 6)  # bytes of the word starts that are features beside the whole words
@@ -153,14 +154,20 @@ def fit_chain(
 def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], bound: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and labels of at most ``bound`` labelled documents, those of the smallest hashed ids.
 
-    Labels that are null, or ids without a document, are left out; ids labelled twice count as the larger value.
+    Labels that are null, or ids without a document, are left out; ids labelled twice count as the larger value, of an id
+    with several texts that of the smallest hash counts. The choice is made on the cluster, so the driver gets at most
+    ``bound`` rows whatever repeats.
     """
     known = labels.where(F.col("doc_id").isNotNull())
     for c in categories:
         known = known.where(F.col(c).isNotNull())
     known = known.groupBy("doc_id").agg(*[F.max(F.col(c).cast("double")).alias(c) for c in categories])
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    both = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    # One text of each labelled id, then the smallest hashes: all on (id, hash) rows, before any feature is made.
+    slim = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    mark = F.xxhash64("text").alias("mark")
+    there = slim.where("doc_id is not null").select("doc_id", mark).groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    chosen = stored(known.join(there, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound), "training-ids")
+    both = slim.withColumn("mark", mark).join(F.broadcast(chosen), ["doc_id", "mark"])
 
     def cut(frames):
         make = Features()
@@ -170,8 +177,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], bou
             yield out
 
     schema = "doc_id long, " + ", ".join(f"{c} double" for c in categories) + ", features binary"
-    got = both.select(F.col("doc_id").cast("long").alias("doc_id"), *categories, "text").mapInPandas(cut, schema).toPandas()
-    got = got.sort_values("doc_id", kind="stable").head(bound)
+    both = both.select(F.col("doc_id").cast("long").alias("doc_id"), *categories, "text").dropDuplicates(["doc_id"])
+    got = both.mapInPandas(cut, schema).toPandas().sort_values("doc_id", kind="stable")
     values = got[categories].to_numpy(float).reshape(-1, len(categories))
     return [np.frombuffer(x, "<i4") for x in got.pop("features")], values
 
