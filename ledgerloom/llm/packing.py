@@ -8,6 +8,7 @@ pieces; pieces are then numbered within their length on the cluster and look the
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -25,51 +26,109 @@ from ledgerloom.session import stored
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
+# A word of Latin letters, each lower-cased one to one, with closing punctuation: two pre-tokens at most.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?%#$*&|)]*)")
+
+
 class WordIds:
-    """Token ids, as little-endian 32-bit bytes, of a vocabulary that drops white space.
+    """Token ids, as little-endian 32-bit bytes, of a vocabulary that drops white space and case and marks word ends.
 
     Words between white space are encoded on their own and kept in a cache of two generations: when the younger is
-    full it becomes the older one, and a word of the older that is met again moves up. Texts with a special token
-    string or a separator control character go whole through the library.
+    full it becomes the older one, and a word of the older that is met again moves up. What a group of texts lacks is
+    encoded together: words that differ in case or closing punctuation only share their letters, and letters are joined
+    to one text whose ids are cut where a token ends a word. Texts with a special token string or a separator control
+    character go whole through the library.
     """
 
+    TOGETHER = 1 << 20  # characters of texts that are looked up together; a longer text is looked up alone
+
     def __init__(self, path: str):
         self.library = tokenizer(path)
         self.special = special(self.library)
-        self.young: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    @staticmethod
-    def _ids(encoding) -> bytes:
-        return struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
+    def _each(self, words: list[str]) -> list[bytes]:
+        codes = self.library.encode_batch_fast(words, add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in codes]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one pre-token each; one by one if their ends don't tell them apart."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                out += self._each(part)
+                continue
+            raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            out += [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        return out
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        new = {w: self.old[w] for w in words if w in self.old}
-        unknown = [w for w in words if w not in new]
-        codes = self.library.encode_batch_fast(unknown, add_special_tokens=False)
-        new.update(zip(unknown, map(self._ids, codes), strict=True))
-        if len(self.young) + len(new) > CACHE:
-            self.young, self.old = {}, self.young
-        self.young.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST)
+        new: dict[str, bytes] = {}
+        plain: list[tuple[str, str, str]] = []
+        other: list[str] = []
+        for w in words:
+            if w in self.old:
+                new[w] = self.old[w]
+            elif m := PLAIN.fullmatch(w):
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                other.append(w)
+        letters = list({x for _, x, _ in plain})
+        of = dict(zip(letters, self._joined(letters), strict=True))
+        closing = list({x for *_, x in plain if x})
+        tail = dict(zip(closing, self._each(closing), strict=True)) | {"": b""}
+        new.update((w, of[x] + tail[y]) for w, x, y in plain)
+        new.update(zip(other, self._each(other), strict=True))
+        self.known.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST)
         return new
 
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or STRANGE.search(text):
-            return self._ids(self.library.encode(text, add_special_tokens=False))
-        words = text.split()
-        found = list(map(self.young.get, words))
-        if None in found:
-            new = self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
-            found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        return b"".join(found)
+    def _group(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known, self.old = {}, self.known
+        split = [None if any(s in t for s in self.special) or STRANGE.search(t) else t.split() for t in texts]
+        missing: set[str] = set()
+        for words in split:
+            if words:
+                missing |= set(words).difference(self.known)
+        new = self._learn(missing) if missing else {}
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                out += self._each([text])
+                continue
+            found = list(map(self.known.get, words))
+            if None in found:  # too long to keep
+                found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            out.append(b"".join(found))
+        return out
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; none for a null text."""
+        out: list[bytes] = []
+        group: list[str] = []
+        held = 0
+        for text in texts:
+            if group and held + len(text or "") > self.TOGETHER:
+                out += self._group(group)
+                group, held = [], 0
+            group.append(text or "")
+            held += len(group[-1])
+        return out + self._group(group) if group else out
 
 
 def pieces(docs: DataFrame, encoder: Callable, capacity: int, end: int, text: str = "text", ids: bool = False) -> DataFrame:
     """One row per piece: the columns of ``docs`` but the text, then piece, start, length, ids_crc32 and, with
     ``ids``, the ids themselves as bytes.
 
-    ``encoder()`` gives in each worker a function from a text to its ids as little-endian 32-bit bytes; the id ``end``
-    is appended. A document of more than ``capacity`` ids is cut into pieces of that many, the last may be
+    ``encoder()`` gives in each worker an object whose ``many`` turns texts into their ids as little-endian 32-bit bytes;
+    the id ``end`` is appended. A document of more than ``capacity`` ids is cut into pieces of that many, the last may be
     shorter. A null or empty text is the one id ``end``.
     """
     tag, last = os.urandom(8).hex(), np.asarray([end], "<u4").tobytes()
@@ -79,8 +138,8 @@ def pieces(docs: DataFrame, encoder: Callable, capacity: int, end: int, text: st
     def cut(texts: pd.Series) -> pd.Series:
         encode = kept(tag, encoder)
         out = []
-        for value in texts:
-            raw = (encode(value) if value else b"") + last
+        for raw in encode.many(texts.tolist()):
+            raw += last
             row = []
             for i, at in enumerate(range(0, len(raw), 4 * capacity)):
                 part = raw[at : at + 4 * capacity]

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import stored
+
 CACHE = 400_000  # chunks that a worker keeps of what it has encoded itself
 LONGEST = 64  # characters of the longest chunk that is kept
 
@@ -106,29 +108,58 @@ class Counts:
         return total + sum(sizes)
 
 
-def frequent(docs: DataFrame, path: str, size: int = 65_536, sample: int = 1_500, text: str = "text") -> dict[str, int]:
-    """Lengths of the most frequent chunks of a sample: at most ``size`` entries, from the first 20,000 characters of
-    at most ``sample`` texts.
+def frequent_words(docs: DataFrame, size: int = 65_536, text: str = "text", held: int = 500_000, each: int = 16_384) -> list[str]:
+    """At most ``size`` frequent words between white space, of at most ``LONGEST`` characters, counted over all whole texts.
 
-    Only speed depends on the sample: a chunk that the table lacks is encoded where it occurs.
+    A task counts every word of its texts and hands on the ``each`` most frequent ones with their counts, when it holds
+    ``held`` different words or ends, so a few rows a task are shuffled instead of the words. The words with the highest
+    sums reach the driver: those above the count at which there are ``size`` or fewer.
     """
-    rows = docs.select(F.substring(F.col(text).cast("string"), 1, 20_000).alias("t")).where("t is not null").limit(sample)
-    seen: Counter = Counter()
-    for row in rows.collect():
-        seen.update(row.t.split()[1:])
+
+    def count(frames):
+        seen: Counter = Counter()
+
+        def rows() -> pd.DataFrame:
+            top = [(w, n) for w, n in seen.most_common(each) if n > 1 and len(w) <= LONGEST]
+            seen.clear()
+            return pd.DataFrame(top, columns=["w", "n"])
+
+        for frame in frames:
+            for value in frame["t"]:
+                seen.update(value.split())
+                if len(seen) > held:
+                    yield rows()
+        yield rows()
+
+    texts = docs.select(F.col(text).cast("string").alias("t")).where("t is not null")
+    counts = stored(texts.mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "word-counts")
+    bands = counts.groupBy(F.floor(F.log2("n") * 64).alias("band")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
+    least, words = None, 0
+    for band in bands.orderBy(F.desc("band")).collect():  # at most 64 for each doubling of the count
+        words += band.words
+        if least is not None and words > size:
+            break
+        least = band.least
+    if least is None:
+        return []
+    return [r.w for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(size).collect()]
+
+
+def frequent(docs: DataFrame, path: str, size: int = 65_536, text: str = "text") -> dict[str, int]:
+    """Lengths of the most frequent chunks (words with a blank before them) of all texts: at most ``size`` entries."""
     library = tokenizer(path)
-    chunks = [w for w, n in seen.most_common(size) if n > 1 and len(w) <= LONGEST]
-    counts = library.encode_batch_fast([" " + w for w in chunks], add_special_tokens=False)
     marked = special(library)
-    return {w: len(e.ids) for w, e in zip(chunks, counts, strict=True) if not any(s in w for s in marked)}
+    chunks = [w for w in frequent_words(docs, size, text) if not any(s in w for s in marked)]
+    counts = library.encode_batch_fast([" " + w for w in chunks], add_special_tokens=False)
+    return {w: len(e.ids) for w, e in zip(chunks, counts, strict=True)}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", table: int = 65_536) -> DataFrame:
     """Every row of ``docs`` with n_tokens, n_bytes (UTF-8) and over_limit (n_tokens > ``limit``).
 
-    ``path`` is a byte-level BPE file. The first tier is a broadcast table of at most ``table`` frequent chunks, the
-    second a cache in each worker; a miss is encoded by the library in its worker. Nothing is shuffled and every text
-    is read whole. Null and empty texts count zero; special token strings are read as the library does by default;
+    ``path`` is a byte-level BPE file. The first tier is a broadcast table of at most ``table`` frequent chunks, counted
+    over all texts, the second a cache in each worker; a miss is encoded by the library in its worker. Only the counts
+    of words for the table are shuffled, and every text is read whole, twice. Null and empty texts count zero; special token strings are read as the library does by default;
     columns of the same names are replaced; repeated rows are counted each; an empty table gives an empty result.
     """
     known = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, table, text=text))

@@ -239,6 +239,43 @@ def test_vectors(spark, budget):
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [16, 64, 384, 768])
+def test_cover_trees_of_nearly_equal_vectors_end(size):
+    """Scaled copies and vectors that differ by a last place: every child is smaller than its parent."""
+    for seed in range(12):
+        rnd = np.random.default_rng(seed)
+        one = rnd.normal(size=size)
+        copies = np.outer(rnd.uniform(0.1, 10, 30), one)
+        close = np.repeat(one.astype(np.float32)[None], 30, axis=0)
+        close[np.arange(30), np.arange(30) % size] = np.nextafter(close[np.arange(30), np.arange(30) % size], np.float32(9))
+        for rows in (copies, close.astype(float), np.vstack([copies, close])):
+            points = vectors.unit(rows)
+            tree = vectors.CoverTree(points)
+            assert len(tree.center) < 4 * len(rows)
+            count, _, roots = vectors.links(tree, tree, np.ones(len(rows), int), np.ones(len(rows), int), 0.93, True)
+            assert (count == len(rows) - 1).all() and len(set(roots)) == 1
+
+
+@pytest.mark.parametrize("size", [16, 64, 384])
+def test_links_at_the_threshold(size):
+    """Two clusters whose centres are at the threshold give or take 1e-9: links as by comparing all pairs."""
+    for seed in range(6):
+        rnd = np.random.default_rng(seed)
+        base = vectors.unit(rnd.normal(size=(2, size)))
+        side = base[1] - (base[0] @ base[1]) * base[0]
+        side /= np.linalg.norm(side)
+        for cosine in (0.93 - 3e-9, 0.93 - 1e-9, 0.93 + 1e-9, 0.93 + 3e-9):
+            other = cosine * base[0] + math.sqrt(1 - cosine**2) * side
+            rows = np.vstack([base[0] + rnd.normal(size=(24, size)) * 1e-9, other + rnd.normal(size=(24, size)) * 1e-9])
+            points = vectors.unit(rows)
+            tree = vectors.CoverTree(points)
+            ones = np.ones(len(rows), int)
+            count, _, _ = vectors.links(tree, tree, ones, ones, 0.93, True)
+            dot = points @ points.T
+            sure = (abs(dot - 0.93) > 1e-13).all(axis=1)
+            assert (count == (dot >= 0.93).sum(axis=1) - 1)[sure].all() and sure.any()
+
+
 def test_cover_tree_prunes():
     rnd = np.random.default_rng(1)
     centers = vectors.unit(rnd.normal(size=(30, 24)))
@@ -285,6 +322,42 @@ def test_toxicity(spark, folder):
     assert toxicity.drop_toxic(docs, one_class).count() == len(rows)
 
 
+def test_training_rows_are_bounded(spark):
+    """Most rows share one labelled id, most labels have no document: neither fills the sample, one row an id."""
+    docs = spark.createDataFrame([(7, f"w{i % 3} same", "x") for i in range(3000)] + [(i, f"w{i}", "x") for i in range(100, 160)], "doc_id long, text string, mark string")
+    known = [(7, 1, 0)] + [(i, 1, i % 2) for i in range(100, 160)] + [(i, 1, 1) for i in range(10_000, 30_000)]
+    labels = toxicity.labelled(spark.createDataFrame(known, "doc_id long, quality int, toxic int"))
+    for bound, want in ((1000, 61), (20, 20)):
+        features, values = toxicity.training_rows(docs, labels, ["low_quality", "toxic"], bound)
+        assert len(features) == len(values) == want
+
+
+def test_words_are_counted_over_all_texts(spark):
+    rows = [(i, " ".join([f"w{i % 40}"] * (i % 40 + 1)) + " once" + str(i)) for i in range(800)] + [(None, None), (1, ""), (2, "x" * 100 + " " + "x" * 100)]
+    rows += [(3, "late " * 30_000)]  # one word at the end of the table counts as all others do
+    want = Counter(w for _, t in rows for w in (t or "").split())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    known = sorted((w for w, n in want.items() if n > 1 and len(w) <= tokens.LONGEST), key=lambda w: (-want[w], w))
+    assert tokens.frequent_words(docs, 1000) == known
+    few = tokens.frequent_words(docs, 10)
+    assert 5 <= len(few) <= 10 and few == known[: len(few)] and few[0] == "late"
+    assert set(tokens.frequent_words(docs, 1000, held=3)) <= set(known)
+    assert tokens.frequent_words(docs.limit(0), 10) == []
+
+
+def test_word_ids_forget_and_find_again(monkeypatch):
+    """A cache of a few words and groups of a few characters give what the library gives, also for odd letters."""
+    monkeypatch.setattr(packing, "CACHE", 5)
+    library = tokens.tokenizer(WORDS)
+    rnd = random.Random(3)
+    texts = [*TEXTS[:-3], *(" ".join(rnd.choice(["Wort", "don't", "é", "x" * 70, "9a", "--", "end", "of", "w" + str(rnd.randint(0, 30))]) for _ in range(20)) for _ in range(200))]
+    texts += ["Ärger, ÄRGER. naïve?! Straße) ſ İi Ǆ ﬁx क़ e\u0301 x' 's, don't. a,b .,; ß;;; ÿÿ|&", "ABC abc Abc. abc, ABC***"]
+    ids = packing.WordIds(WORDS)
+    ids.TOGETHER = 200
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b"" for t in texts]
+    assert ids.many(texts) == want
+
+
 def test_toxicity_on_held_out_rows(spark, folder):
     """Fitted on half of the labelled documents, judged on the other half."""
     big = folder.replace("sf0.001", "sf0.1")
