@@ -11,11 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import work_dir
+from ledgerloom.session import stored, work_dir
 
 # Fixed values of the seekable format: magic numbers of a skippable frame and of the seek table, entry sizes.
 SKIPPABLE, SEEKABLE, ENTRY, FOOTER = 0x184D2A5E, 0x8F92EAB1, 8, 9
 FRAME = 1 << 20  # bytes of records after which a frame is closed
+BUNDLE = 1024  # frames after which a task closes its bundle and opens another
 DATE = "1970-01-01T00:00:00Z"  # pages carry no fetch time
 
 INDEX = "page_id long, record_id string, path string, frame int, frame_start long, frame_bytes long, start long, length long"
@@ -139,9 +140,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
     """Writes a record per row of ``pages`` (page_id, url, html) to bundles in ``folder``; returns their index.
 
     Of records with equal payloads of at least ``least`` bytes the smallest page_id is a response, the others
-    revisit it; shorter payloads are all responses. The smallest id per digest is a minimum that is combined before
-    the shuffle; pages meet it in a plain join, whose large partitions adaptive execution splits, and each
-    task writes the records it gets. The index (record to frame and offset within the frame) is written beside.
+    revisit it; shorter payloads are all responses. The smallest id per repeated digest is a minimum that is combined
+    before the shuffle and written; pages meet it in a plain join, whose large partitions adaptive execution splits, and
+    each task writes the records it gets, a bundle for every ``BUNDLE`` frames. The index (record to frame and offset
+    within the frame) is written beside.
 
     A null html is an empty payload, a null url a record without target. A null page_id is a response unless another
     id has its payload; rows that repeat the smallest id are all responses, with one record id if all is equal.
@@ -153,12 +155,17 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
         F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"),
     )
     named = rows.where(F.octet_length("html") >= least)
-    first = named.groupBy("digest").agg(F.min("page_id").alias("first"))
+    first = named.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stored(first.select("digest", "first"), "first-pages")  # written, so that a hot payload can be split
     both = rows.join(first, "digest", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     both = both.select("page_id", "url", "html", "digest", refers.alias("refers"))
     base = f"{folder.rstrip('/')}/bundles"
 
+    def closed(out: BundleWriter) -> pd.DataFrame:
+        done = pd.DataFrame(out.close(), columns=[c.split()[0] for c in INDEX.split(", ")])
+        return done.astype({"page_id": "Int64"})
+
     def write(frames):
         out = None
         for part in frames:
@@ -167,10 +174,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
                 page, to = (None if pd.isna(x) else int(x) for x in (page, to))
                 url = None if url is None or url != url else url
                 out.add(page, record_id(page, url, digest), record(page, url, text.encode("utf-8", "replace"), digest, to))
+                if len(out.frames) >= BUNDLE:
+                    yield closed(out)
+                    out = None
         if out:
-            done = pd.DataFrame(out.close(), columns=[c.split()[0] for c in INDEX.split(", ")])
-            done["page_id"] = done["page_id"].astype("Int64")
-            yield done
+            yield closed(out)
 
     both.mapInPandas(write, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
