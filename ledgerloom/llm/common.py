@@ -48,7 +48,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long): component is the smallest node reachable.
 
     Alternating large-star and small-star steps: each links every node to the smallest one it sees, until
-    nothing changes, after about log n steps. Minima are combined before the shuffle, the way back is a plain
+    nothing changes, after about log n steps. Minima are combined before the shuffle and written; the way back is a plain
     join whose large partitions adaptive execution splits, so a hub needs no task of its own. Each state is a
     table in the shared folder. Nulls and loops are ignored; without edges the result is empty.
     """
@@ -57,6 +57,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if both:
             pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = stored(least, "least")  # a plain table under the join, so that a hub can be split
         seen = pairs.join(least, "a")
         out = seen.where(F.col("b") > F.col("a")) if both else seen.where(F.col("b") != F.col("m"))
         out = out.select(F.col("b").alias("a"), F.col("m").alias("b"))

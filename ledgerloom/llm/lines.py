@@ -69,7 +69,7 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long
     1. Every window selects its least gram hash as fingerprint. 2. Fingerprints that occur twice are found by
     counts that are combined before the shuffle; most lines end here. 3. The windows of the others, which extend
     the fingerprint to both sides, are compared in full (one 64-bit hash a line): the first place of each is a
-    minimum, again combined before the shuffle, and all places join it. Overlapping windows join to longer runs.
+    minimum, again combined before the shuffle and written, and all places join it. Overlapping windows join to longer runs.
     """
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
     text, run = F.col("text").cast("string"), gram + window - 1
@@ -84,6 +84,7 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long
     shared = seen.where("a != b").select("fp")
     near = stored(places.join(shared, "fp", "left_semi").drop("fp"), "shared-windows")
     first = near.groupBy("lines").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("first"))
+    first = stored(first, "first-windows")  # written, so that a hot window can be split
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))
     later = near.join(first, "lines").where(~same | (F.col("n") >= F.col("first.n") + F.size("lines")))
     return later.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("removed"))
