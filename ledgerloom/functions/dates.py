@@ -45,37 +45,71 @@ def date_hits(text: str, as_of: Column) -> Column:
     return F.filter(F.concat(*found), lambda h: h["date"].between(F.lit(FIRST_DAY).cast("date"), last_day))
 
 
+NEAR = 5  # characters within which hits of one date are the same
+TOGETHER = 32  # clusters of near hits that are folded at a time
+
+
 def drop_repeats(hits: Column) -> Column:
-    """Keeps a hit unless an earlier kept one has the same date less than five characters away."""
-    kept = F.aggregate(
-        hits,
-        F.expr("cast(array() as array<struct<pat:int,pos:int,date:date>>)"),
-        lambda acc, h: F.when(
-            F.exists(acc, lambda k: (k["date"] == h["date"]) & (F.abs(k["pos"] - h["pos"]) < 5)), acc
-        ).otherwise(F.array_append(acc, h)),
-    )
-    return F.array_sort(
-        F.transform(kept, lambda h: F.struct(h["pos"].alias("pos"), h["pat"].alias("pat"), h["date"].alias("date")))
-    )
+    """Keeps a hit unless an earlier kept one has the same date less than ``NEAR`` characters away.
+
+    Earlier means in pattern and text order. Only hits of one cluster, with no gap of ``NEAR`` between neighbours, can
+    meet, so the hits are sorted by place, cut between clusters and folded in pieces: the work follows their number.
+    """
+
+    def fold(piece: Column) -> Column:
+        return F.aggregate(
+            F.array_sort(F.transform(piece, lambda h: F.struct(h["pat"].alias("pat"), h["pos"].alias("pos"), h["date"].alias("date")))),
+            F.expr("cast(array() as array<struct<pat:int,pos:int,date:date>>)"),
+            lambda acc, h: F.when(
+                F.exists(acc, lambda k: (k["date"] == h["date"]) & (F.abs(k["pos"] - h["pos"]) < NEAR)), acc
+            ).otherwise(F.array_append(acc, h)),
+        )
+
+    def pieces(places: Column) -> Column:
+        opens = F.filter(
+            F.sequence(F.lit(0), F.size(places) - 1),
+            lambda i: (i == 0) | (F.get(places, i)["pos"] - F.get(places, i - 1)["pos"] >= NEAR),
+        )
+        starts = F.filter(opens, lambda i, n: n % TOGETHER == 0)
+        return F.transform(
+            F.array(starts),  # of one element, so that the starts are found once
+            lambda at: F.transform(
+                at, lambda start, n: F.slice(places, start + 1, F.coalesce(F.get(at, n + 1), F.size(places)) - start)
+            ),
+        )[0]
+
+    placed = F.array_sort(F.transform(hits, lambda h: F.struct(h["pos"].alias("pos"), h["pat"].alias("pat"), h["date"].alias("date"))))
+    kept = F.flatten(F.flatten(F.transform(F.array(placed), lambda all_: F.transform(pieces(all_), fold))))
+    out = F.array_sort(F.transform(kept, lambda h: F.struct(h["pos"].alias("pos"), h["pat"].alias("pat"), h["date"].alias("date"))))
+    return F.when(F.size(hits) > 0, out).otherwise(F.expr("cast(array() as array<struct<pos:int,pat:int,date:date>>)"))
 
 
 def near_label(low: str, hits: str, labels: list[str], reach: int = 150) -> Column:
     """Date nearest to a label: first label, first occurrence with a date after it, else around it.
 
-    ``low`` is the column of the lower-case text, ``hits`` that of its dates.
+    ``low`` is the column of the lower-case text, ``hits`` that of its dates in text order. Every occurrence finds the
+    dates around it by halving the list, so it looks at its own neighbours only.
     """
-
-    def nearest(near: str) -> str:
+    # The number of hits before a position.
+    def before(place: str) -> str:
         return (
-            f"array_min(transform(filter({hits}, h -> {near}), "
-            "h -> struct(abs(h.pos - k.pos) as dist, h.pos as pos, h.date as date)))"
+            f"aggregate(sequence(1, greatest(1, cast(ceil(log2(size({hits}) + 1)) as int))), named_struct('a', 0, 'b', size({hits})), "
+            f"(s, i) -> case when s.a >= s.b then s when get({hits}, (s.a + s.b) div 2).pos < {place} "
+            "then named_struct('a', cast((s.a + s.b) div 2 + 1 as int), 'b', s.b) "
+            "else named_struct('a', s.a, 'b', cast((s.a + s.b) div 2 as int)) end, s -> s.a)"
         )
 
+    def nearest(near: str) -> str:
+        return f"array_min(transform(filter(w, h -> {near}), h -> struct(abs(h.pos - k.pos) as dist, h.pos as pos, h.date as date)))"
+
     def at(label: str) -> str:
-        after = nearest(f"h.pos >= k.pos and h.pos <= k.pos + {reach}")
-        around = nearest(f"abs(h.pos - k.pos) <= {reach}")
+        window = (
+            f"transform(array({before(f'k.pos - {reach}')}), a -> slice({hits}, a + 1, "
+            f"greatest(0, {before(f'k.pos + {reach} + 1')} - a)))"
+        )
+        best = f"transform({window}, w -> coalesce({nearest('h.pos >= k.pos')}, {nearest('true')}))[0]"
         places = hits_sql(low, java_literal(label.lower()))
-        found = f"filter(transform({places}, k -> coalesce({after}, {around})), x -> x is not null)"
+        found = f"filter(transform({places}, k -> {best}), x -> x is not null)"
         return f"case when contains({low}, '{label.lower()}') then get({found}, 0).date end"
 
     return F.expr("coalesce(" + ", ".join(map(at, labels)) + ")")

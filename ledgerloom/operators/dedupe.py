@@ -1,7 +1,8 @@
 """Duplicate invoices in linear form: groups, links to the first of a group, flags and pair counts.
 
 Every rule compares keys for equality, so a group of n equal rows stands for its n(n-1)/2 pairs. Pairs are
-counted, never listed: each later member is linked to the first one.
+counted, never listed: each later member is linked to the first one. Groups of two and more are written before rows
+meet them, so that the join has a plain table on either side and adaptive execution can split the rows of a hot key.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import stored
+
 EXACT = ["supplier_tax_id", "issue_date", "total_gross"]
 ROW = ["file_id", "seq"]
 
@@ -29,7 +32,7 @@ def exact_duplicates(invoices: DataFrame) -> DataFrame:
         .where(F.col("first_id") < F.col("last_id"))
         .drop("last_id")
     )
-    linked = rows.join(groups, EXACT)
+    linked = rows.join(stored(groups, "groups"), EXACT)
     return linked.where(F.col("invoice_id") > F.col("first_id")).select("first_id", "invoice_id", "n", *EXACT)
 
 
@@ -83,7 +86,7 @@ def near_duplicates(invoices: DataFrame) -> DataFrame:
     """
     rows = _keyed(invoices)
     groups = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).where("n > 1")
-    linked = rows.join(groups, KEY).where(F.col("seq") > F.col("first_seq"))
+    linked = rows.join(stored(groups, "groups"), KEY).where(F.col("seq") > F.col("first_seq"))
     return linked.select("file_id", "first_seq", "seq").distinct()
 
 
@@ -102,27 +105,18 @@ def duplicate_rows(invoices: DataFrame, tolerance: str = "0.01") -> DataFrame:
     """(file_id, seq) of every row that is an end of some pair; any amount tolerance.
 
     Amounts fall into buckets as wide as the tolerance: two rows of one bucket always pair, and a row can
-    otherwise pair only with the largest amount of the bucket below or the smallest of the bucket above.
+    otherwise pair only with the largest amount of the bucket below or the smallest of the bucket above. Both rules
+    share one pass: a row goes once to each rule's key, a rule by number being one bucket.
     """
     tol = F.lit(tolerance).cast("decimal(18,2)")
-    bucket = F.floor(F.col("total_gross") / tol).cast("long")
-    rows = invoices.select(*ROW, "invoice_id", *EXACT).withColumn("bucket", bucket)
-
-    by_id = rows.where(F.col("invoice_id").isNotNull()).select(*ROW, "invoice_id")
-    id_key = ["file_id", "invoice_id"]
-    same_id = by_id.groupBy(*id_key).agg(F.count("*").alias("n")).where("n > 1")
-    hits_id = by_id.join(same_id, id_key).select(*ROW)
-
-    amount_key = ["file_id", "supplier_tax_id", "issue_date", "bucket"]
-    by_amount = rows.where(_present(EXACT)).select(*ROW, "supplier_tax_id", "issue_date", "bucket", "total_gross")
-    sizes = by_amount.groupBy(*amount_key).agg(
-        F.count("*").alias("n"), F.min("total_gross").alias("low"), F.max("total_gross").alias("high")
-    )
-    shifted = sizes.withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(
-        "bucket", F.col("bucket") + F.col("shift")
-    )
+    bucket = F.floor(F.col("amount") / tol).cast("long")
+    rows = _keyed(invoices).withColumn("bucket", bucket)
+    key = ["file_id", "rule", "key", "day", "bucket"]
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("amount").alias("low"), F.max("amount").alias("high"))
+    shifts = F.when(F.col("rule") == "id", F.array(F.lit(0))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    shifted = sizes.withColumn("shift", F.explode(shifts)).withColumn("bucket", F.col("bucket") + F.col("shift"))
     here, below, above = F.col("shift") == 0, F.col("shift") == 1, F.col("shift") == -1
-    around = shifted.groupBy(*amount_key).agg(
+    around = shifted.groupBy(*key).agg(
         F.max(F.when(here, F.col("n"))).alias("n"),
         F.max(F.when(here, F.col("low"))).alias("low"),
         F.max(F.when(here, F.col("high"))).alias("high"),
@@ -133,16 +127,10 @@ def duplicate_rows(invoices: DataFrame, tolerance: str = "0.01") -> DataFrame:
         F.col("n").isNotNull()
         & ((F.col("n") > 1) | (F.col("low") - F.col("prev") < tol) | (F.col("next") - F.col("high") < tol))
     ).drop("low", "high")
-    hits_amount = (
-        by_amount.join(near, amount_key)
-        .where(
-            (F.col("n") > 1)
-            | (F.col("total_gross") - F.col("prev") < tol)
-            | (F.col("next") - F.col("total_gross") < tol)
-        )
-        .select(*ROW)
+    hits = rows.join(stored(near, "groups"), key).where(
+        (F.col("n") > 1) | (F.col("amount") - F.col("prev") < tol) | (F.col("next") - F.col("amount") < tol)
     )
-    return hits_id.unionByName(hits_amount).distinct()
+    return hits.select(*ROW).distinct()
 
 
 def mark_duplicates(invoices: DataFrame, tolerance: str = "0.01") -> DataFrame:

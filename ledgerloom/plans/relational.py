@@ -370,8 +370,8 @@ def _(spark, folder):
 
 @query("e03_row_numbers")
 def _(spark, folder):
-    rows = fixtures.invoices(spark, folder, False)
-    return ordered.number_rows(rows, reports.file_order()).select("file_id", "seq", "lp")
+    rows = fixtures.invoices(spark, folder, False).select(*reports.FILE_ORDER)
+    return ordered.number_rows(rows, *map(F.col, reports.FILE_ORDER))
 
 
 @query("e09_latest_change")
