@@ -46,7 +46,7 @@ def date_hits(text: str, as_of: Column) -> Column:
 
 
 NEAR = 5  # characters within which hits of one date are the same
-TOGETHER = 32  # clusters of near hits that are folded at a time
+TOGETHER = 32  # hits, or clusters of near hits, that are folded at a time
 
 
 def drop_repeats(hits: Column) -> Column:
@@ -78,17 +78,21 @@ def drop_repeats(hits: Column) -> Column:
             ),
         )[0]
 
-    placed = F.array_sort(F.transform(hits, lambda h: F.struct(h["pos"].alias("pos"), h["pat"].alias("pat"), h["date"].alias("date"))))
-    kept = F.flatten(F.flatten(F.transform(F.array(placed), lambda all_: F.transform(pieces(all_), fold))))
-    out = F.array_sort(F.transform(kept, lambda h: F.struct(h["pos"].alias("pos"), h["pat"].alias("pat"), h["date"].alias("date"))))
-    return F.when(F.size(hits) > 0, out).otherwise(F.expr("cast(array() as array<struct<pos:int,pat:int,date:date>>)"))
+    def sorted_(found: Column) -> Column:
+        return F.array_sort(F.transform(found, lambda h: F.struct(h["pos"].alias("pos"), h["pat"].alias("pat"), h["date"].alias("date"))))
+
+    def cut(found: Column) -> Column:
+        return F.flatten(F.flatten(F.transform(F.array(sorted_(found)), lambda placed: F.transform(pieces(placed), fold))))
+
+    # one-element array: the hits are found once for both ways
+    return F.transform(F.array(hits), lambda found: sorted_(F.when(F.size(found) <= TOGETHER, fold(found)).otherwise(cut(found))))[0]
 
 
 def near_label(low: str, hits: str, labels: list[str], reach: int = 150) -> Column:
     """Date nearest to a label: first label, first occurrence with a date after it, else around it.
 
-    ``low`` is the column of the lower-case text, ``hits`` that of its dates in text order. Every occurrence finds the
-    dates around it by halving the list, so it looks at its own neighbours only.
+    ``low`` is the column of the lower-case text, ``hits`` that of its dates in text order. In a list of more than
+    ``TOGETHER`` dates every occurrence finds those around it by halving the list, so it looks at its neighbours only.
     """
     # The number of hits before a position.
     def before(place: str) -> str:
@@ -102,17 +106,20 @@ def near_label(low: str, hits: str, labels: list[str], reach: int = 150) -> Colu
     def nearest(near: str) -> str:
         return f"array_min(transform(filter(w, h -> {near}), h -> struct(abs(h.pos - k.pos) as dist, h.pos as pos, h.date as date)))"
 
-    def at(label: str) -> str:
-        window = (
-            f"transform(array({before(f'k.pos - {reach}')}), a -> slice({hits}, a + 1, "
-            f"greatest(0, {before(f'k.pos + {reach} + 1')} - a)))"
-        )
-        best = f"transform({window}, w -> coalesce({nearest('h.pos >= k.pos')}, {nearest('true')}))[0]"
-        places = hits_sql(low, java_literal(label.lower()))
-        found = f"filter(transform({places}, k -> {best}), x -> x is not null)"
-        return f"case when contains({low}, '{label.lower()}') then get({found}, 0).date end"
-
-    return F.expr("coalesce(" + ", ".join(map(at, labels)) + ")")
+    near = (
+        f"transform(array({before(f'k.pos - {reach}')}), a -> slice({hits}, a + 1, "
+        f"greatest(0, {before(f'k.pos + {reach} + 1')} - a)))[0]"
+    )
+    window = f"array(case when size({hits}) <= {TOGETHER} then {hits} else {near} end)"
+    after, around = f"h.pos >= k.pos and h.pos <= k.pos + {reach}", f"abs(h.pos - k.pos) <= {reach}"
+    best = f"transform({window}, w -> coalesce({nearest(after)}, {nearest(around)}))[0]"
+    found = f"filter(transform({hits_sql(low, 'q.pattern')}, k -> {best}), x -> x is not null)"
+    # One expression for all labels keeps the plan small; each is looked for only while none has a date.
+    asked = ", ".join(f"named_struct('label', '{x.lower()}', 'pattern', r'{java_literal(x.lower())}')" for x in labels)
+    return F.expr(
+        f"aggregate(array({asked}), cast(null as date), (done, q) -> "
+        f"case when done is null and contains({low}, q.label) then get({found}, 0).date else done end)"
+    )
 
 
 def label_dates(low: str, hits: str) -> Column:

@@ -64,41 +64,42 @@ RUN = 128  # array elements that are folded at a time: appending copies what is
 
 
 def hits_sql(name: str, pattern: str) -> str:
-    """SQL of ``array<struct<pos, raw>>``: every match in the column with its 0-based character position.
+    """SQL of ``array<struct<pos, raw>>``: every match of the pattern (SQL of a string) in the column with its 0-based
+    character position.
 
     A position is the length of all before it. Sums over runs of ``RUN`` matches are folded one by one, then the runs are
     shifted by the sums before them, so the work follows the number of matches, not its square. There is one gap
     more than matches; it pairs with a missing match and adds nothing.
     """
     one = "struct<pos:int,raw:string>"
+
+    def fold(pairs: str) -> str:
+        return f"""aggregate({pairs}, named_struct('off', 0, 'out', cast(array() as array<{one}>)),
+          (acc, s) -> case when s.raw is null then acc else named_struct(
+            'off', acc.off + s.gap + length(s.raw),
+            'out', array_append(acc.out, named_struct('pos', acc.off + s.gap, 'raw', s.raw))) end)"""
+
+    runs = f"""transform(
+          sequence(0, cast(ceil(size(every) / {RUN}) as int) - 1), i -> {fold(f"slice(every, i * {RUN} + 1, {RUN})")})"""
     return f"""
-      flatten(transform(
-        aggregate(
-          transform(
-            transform(
-              array(zip_with(
-                regexp_extract_all({name}, r'{pattern}', 0),
-                split({name}, r'{pattern}', -1),
-                (raw, gap) -> struct(raw, length(gap) as gap))),
-              all -> transform(
-                sequence(0, greatest(cast(ceil(size(all) / {RUN}) as int) - 1, 0)),
-                i -> aggregate(
-                  slice(all, i * {RUN} + 1, {RUN}),
-                  named_struct('off', 0, 'out', cast(array() as array<{one}>)),
-                  (acc, s) -> case when s.raw is null then acc else named_struct(
-                    'off', acc.off + s.gap + length(s.raw),
-                    'out', array_append(acc.out, named_struct('pos', acc.off + s.gap, 'raw', s.raw))) end))),
-            runs -> runs)[0],
-          named_struct('base', 0, 'out', cast(array() as array<struct<base:int,hits:array<{one}>>>)),
-          (acc, r) -> named_struct(
-            'base', acc.base + r.off, 'out', array_append(acc.out, named_struct('base', acc.base, 'hits', r.out))),
-          acc -> acc.out),
-        r -> transform(r.hits, h -> named_struct('pos', r.base + h.pos, 'raw', h.raw))))"""
+      transform(
+        array(zip_with(
+          regexp_extract_all({name}, {pattern}, 0), split({name}, {pattern}, -1),
+          (raw, gap) -> struct(raw, length(gap) as gap))),
+        every -> case when size(every) <= {RUN} then {fold("every")}.out else flatten(transform(
+          aggregate(
+            {runs},
+            named_struct('base', 0, 'out', cast(array() as array<struct<base:int,hits:array<{one}>>>)),
+            (acc, r) -> named_struct(
+              'base', acc.base + r.off, 'out', array_append(acc.out, named_struct('base', acc.base, 'hits', r.out))),
+            acc -> acc.out),
+          r -> transform(r.hits, h -> named_struct('pos', r.base + h.pos, 'raw', h.raw)))) end)[0]"""
 
 
 def regex_hits(name: str, pattern: str) -> Column:
     """``array<struct<pos, raw>>`` of a text column; empty without a match."""
-    hits = f"case when regexp_like({name}, r'{pattern}') then {hits_sql(name, pattern)} end"
+    quoted = f"r'{pattern}'"
+    hits = f"case when regexp_like({name}, {quoted}) then {hits_sql(name, quoted)} end"
     return F.expr(f"coalesce({hits}, cast(array() as array<struct<pos:int,raw:string>>))")
 
 
