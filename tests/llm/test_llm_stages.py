@@ -4,8 +4,10 @@ import hashlib
 import random
 from itertools import combinations
 
+import pytest
+
 import corpus_pipeline
-from ledgerloom.llm import passages
+from ledgerloom.llm import passages, similar
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -109,3 +111,33 @@ def test_stretches_are_cut_once(spark, monkeypatch):
         assert (len(r.left), len(r.right)) == (min(far, start), far)
     assert seen["stretches"].count() == 6  # three stretches with two reaches
     assert max(len(r.asked) for r in seen["asked"].collect()) <= 2
+
+
+@pytest.mark.parametrize("whole,rare", [(8, 32), (2, 3)])
+def test_near_duplicates_in_large_keys(spark, monkeypatch, whole, rare):
+    """Families of one template, unlike each other, whose members have one near copy each; copies with edits; chains."""
+    monkeypatch.setattr(similar, "WHOLE", whole)
+    monkeypatch.setattr(similar, "RARE", rare)
+    rnd = random.Random(whole)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(2):
+        template = [word() for _ in range(140)]
+        for _ in range(40):
+            own = [word() for _ in range(30)]
+            texts += [template + own, template + own[:17] + [word() for _ in range(13)]]
+    base = [word() for _ in range(150)]
+    for i in range(60):  # edits of one text, nearly all alike
+        text = list(base)
+        for at in rnd.sample(range(150), rnd.randint(0, 4)):
+            text[at] = word()
+        texts.append(text)
+    chain = [word() for _ in range(150)]
+    for _ in range(25):  # each is like the one before, the ends are not
+        chain = chain[6:] + [word() for _ in range(6)]
+        texts.append(list(chain))
+    rnd.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted(r.doc_id for r in similar.drop_similar(docs).collect())
+    assert got == sorted(plain_groups(rows)) and len(got) > 80
