@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ class WordIds:
     character go whole through the library.
     """
 
-    TOGETHER = 1 << 20  # characters of texts that are looked up together; a longer text is looked up alone
+    TOGETHER = 1 << 22  # characters of texts that are looked up together; a longer text is looked up alone
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
@@ -69,45 +71,54 @@ class WordIds:
             out += [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
         return out
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        new: dict[str, bytes] = {}
-        plain: list[tuple[str, str, str]] = []
-        other: list[str] = []
-        for w in words:
-            if w in self.old:
-                new[w] = self.old[w]
-            elif m := PLAIN.fullmatch(w):
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                other.append(w)
-        letters = list({x for _, x, _ in plain})
-        of = dict(zip(letters, self._joined(letters), strict=True))
-        closing = list({x for *_, x in plain if x})
-        tail = dict(zip(closing, self._each(closing), strict=True)) | {"": b""}
-        new.update((w, of[x] + tail[y]) for w, x, y in plain)
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        new = {w: self.old[w] for w in words if w in self.old}
+        words = [w for w in words if w not in new]
+        plain = [PLAIN.fullmatch(w) for w in words]
+        other = [w for w, m in zip(words, plain, strict=True) if m is None]
+        letters = [m[1].lower() for m in plain if m]
+        closing = [m[2] for m in plain if m]
+        of = self._letters(set(letters))
+        ends = list(set(closing))
+        tail = dict(zip(ends, self._each(ends), strict=True))
+        new.update((m[0], of[x] + tail[y]) for m, x, y in zip(filter(None, plain), letters, closing, strict=True))
         new.update(zip(other, self._each(other), strict=True))
         self.known.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST)
         return new
 
+    def _letters(self, letters: set[str]) -> dict[str, bytes]:
+        """Ids of lower-cased letters, which are words themselves and kept as such."""
+        of: dict[str, bytes] = {}
+        for x in letters:
+            ids = self.known.get(x) or self.old.get(x)
+            if ids:
+                of[x] = ids
+        lacking = list(letters.difference(of))
+        new = dict(zip(lacking, self._joined(lacking), strict=True))
+        self.known.update((x, ids) for x, ids in new.items() if len(x) <= LONGEST)
+        return of | new
+
     def _group(self, texts: list[str]) -> list[bytes]:
+        """Splits the group in one go and looks every different word up once; the words' ids, laid end to end, are cut
+        where the texts end."""
         if len(self.known) > CACHE:
             self.known, self.old = {}, self.known
-        split = [None if any(s in t for s in self.special) or STRANGE.search(t) else t.split() for t in texts]
-        missing: set[str] = set()
-        for words in split:
-            if words:
-                missing |= set(words).difference(self.known)
-        new = self._learn(missing) if missing else {}
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out += self._each([text])
-                continue
-            found = list(map(self.known.get, words))
-            if None in found:  # too long to keep
-                found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-            out.append(b"".join(found))
-        return out
+        whole = [any(s in t for s in self.special) or STRANGE.search(t) is not None for t in texts]
+        split = pc.utf8_split_whitespace(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, different))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        if lacking:
+            new = self._learn([different[i] for i in lacking])
+            for i in lacking:
+                found[i] = new[different[i]]
+        ids = pa.array(found, pa.large_binary()).take(words.indices)
+        _, ends, raw = ids.buffers()
+        cuts = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        raw = memoryview(raw or b"")
+        parts = zip(texts, whole, cuts, cuts[1:], strict=False)
+        return [self._each([t])[0] if w else raw[i:j].tobytes() for t, w, i, j in parts]
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for a null text."""
