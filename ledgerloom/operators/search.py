@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import MONEY
+from ledgerloom.sources.tables import MONTH
 
 ORDERABLE = (
     "invoice_id", "invoice_type", "issue_date", "sale_date", "due_date", "supplier_name", "supplier_tax_id",
@@ -66,7 +67,19 @@ def between_dates(date_from: str | None, date_to: str | None) -> list[Column]:
     return out
 
 
+def in_months(invoices: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """The months of a stored table that a period touches, so that the others are not read; other tables as they are."""
+    if MONTH not in invoices.columns:
+        return invoices
+    if date_from:
+        invoices = invoices.where(F.col(MONTH) >= F.date_format(F.lit(date_from).cast("date"), "yyyy-MM"))
+    if date_to:
+        invoices = invoices.where(F.col(MONTH) <= F.date_format(F.lit(date_to).cast("date"), "yyyy-MM"))
+    return invoices
+
+
 def in_period(invoices: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    invoices = in_months(invoices, date_from, date_to)
     return invoices.where(reduce(lambda a, b: a & b, between_dates(date_from, date_to), F.lit(True)))
 
 
@@ -79,7 +92,8 @@ def search(
     column = F.col(order_by)
     order = column.desc_nulls_last() if descending else column.asc_nulls_first()
     ties = [F.col(c) for c in ("invoice_id", "file_id", "seq") if c in invoices.columns]
-    found = invoices.where(predicate(**criteria)).orderBy(order, *ties)
+    months = in_months(invoices, criteria.get("date_from"), criteria.get("date_to"))
+    found = months.where(predicate(**criteria)).orderBy(order, *ties)
     return found.limit(limit) if limit else found
 
 

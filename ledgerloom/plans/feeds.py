@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom import dims
 from ledgerloom.functions import text as texts
-from ledgerloom.operators import ordered, reports
+from ledgerloom.memo import memo
+from ledgerloom.operators import ordered, reports, search
 from ledgerloom.plans import relational
 from ledgerloom.session import work_dir
-from ledgerloom.sources import export, files, fixtures
+from ledgerloom.sources import export, files, fixtures, tables
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import feeds
+from ledgerloom.streaming.store import Store, first_rows
 
 QUERIES = {}
 
@@ -35,6 +37,17 @@ def _(spark, folder):
     return feeds.current(spark, path, feeds.EVENTS, ["user_id"], "event_id").select("user_id", "event_id", "event_type")
 
 
+@query("x01_keyed_save")
+def _(spark, folder):
+    stored_rows = relational.store(spark, folder).withColumn("change_seq", F.lit(-1).cast("long"))
+    arrived = stored_rows.unionByName(relational.updates(spark, folder).withColumn("change_seq", F.col("change_seq").cast("long")))
+    source = work_dir(spark, "source")
+    arrived.repartitionByRange(4, "change_seq", "invoice_id").write.parquet(source)
+    kept = Store(work_dir(spark, "store"), arrived.schema, every=2)
+    kept.save(spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 1).parquet(source), work_dir(spark, "state")).awaitTermination()
+    return kept.current(spark).drop("change_seq")
+
+
 @query("x02_running_totals")
 def _(spark, folder):
     path = work_dir(spark, "totals")
@@ -50,6 +63,14 @@ def _(spark, folder):
     return spark.read.parquet(path).select("user_id")
 
 
+@query("x03_first_rows")
+def _(spark, folder):
+    stream = _events(spark, folder)
+    firsts = first_rows(work_dir(spark, "firsts"), stream.schema, "user_id", "event_id")
+    firsts.save(stream, work_dir(spark, "state")).awaitTermination()
+    return firsts.current(spark).select("user_id", "event_id", "event_type", "value")
+
+
 @query("x04_audit_feed")
 def _(spark, folder):
     path = work_dir(spark, "audit")
@@ -115,6 +136,42 @@ def _(spark, folder):
     )
 
 
+@memo
+def invoice_table(spark, folder):
+    """The invoices as a table cut by month, written once per application."""
+    path = work_dir(spark, "invoices")
+    tables.write_invoices(fixtures.invoices(spark, folder), path)
+    return tables.scan_invoices(spark, path)
+
+
+@query("s01_stored_search")
+def _(spark, folder):
+    found = search.search(
+        invoice_table(spark, folder), supplier_name="supplier", date_from="1995-02-10", date_to="1996-11-20", min_amount="100",
+        payment_status="opłacona",
+    )
+    return found.select(*relational.HEAD)
+
+
+@query("p13_stored_period")
+def _(spark, folder):
+    rows = search.in_period(invoice_table(spark, folder), "1996-01-15", "1996-04-02")
+    return rows.select(*relational.HEAD, F.size("line_items").alias("n_items"))
+
+
+@query("p14_stored_supplier")
+def _(spark, folder):
+    rows = invoice_table(spark, folder).where(search.predicate(supplier_tax_id="1000000006"))
+    return rows.select("file_id", "seq", "invoice_id", "month", "total_gross")
+
+
+@query("s06_stored_pages")
+def _(spark, folder):
+    path = work_dir(spark, "pages")
+    tables.write_pages(fixtures.talk_pages(spark, folder), path)
+    return tables.scan_pages(spark, path)
+
+
 @query("t03_label_values")
 def _(spark, folder):
     rows = fixtures.invoice_pages(spark, folder).withColumn("low", F.lower("text"))

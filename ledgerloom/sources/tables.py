@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+MONTH = "month"  # of the issue date, the folders of the invoice table
 PAGES = "doc_id long, page_no int, engine string, text string, confidence double, language string"
 WORDS = (
     "doc_id long, page_no int, engine string, text string, left int, top int, width int, height int, confidence double"
@@ -25,9 +28,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def write_invoices(rows: DataFrame, path: str) -> None:
+    """The invoice table: a folder for each month of issue, a range of suppliers in each file.
+
+    Rows are dealt by ranges of month, supplier and number, so neither a full month nor a large supplier is one task.
+    Invoices without an issue date have a folder of their own.
+    """
+    names = StructType.fromDDL(INVOICES).names
+    by = [MONTH, "supplier_tax_id", "invoice_id"]
+    cut = rows.select(*names, F.date_format("issue_date", "yyyy-MM").alias(MONTH))
+    cut.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy(MONTH).parquet(path)
+
+
 def scan_invoices(spark: SparkSession, path: str) -> DataFrame:
-    """A stored invoice table, read with its stated schema."""
-    return spark.read.schema(INVOICES).parquet(path)
+    """A stored invoice table, read with its stated schema and the month it is cut by."""
+    return spark.read.schema(f"{INVOICES}, {MONTH} string").parquet(path)
+
+
+def write_pages(rows: DataFrame, path: str) -> None:
+    """Recognised pages, those of a document side by side: a file holds a range of documents."""
+    by = ["doc_id", "page_no"]
+    names = StructType.fromDDL(PAGES).names
+    rows.select(*names).repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
