@@ -17,11 +17,27 @@ from ledgerloom.operators.ordered import latest, number_within
 KEPT = ("file_path", "file_hash", "page_range", "raw_text", "processed_by", "notes", "created_at")
 
 
+# The time of a change: a column of the change table, else the present; the store's column that takes it, if it has one.
+AT, UPDATED = "changed_at", "updated_at"
+
+
+def _stamped(rows: DataFrame, hit: Column) -> DataFrame:
+    """Rows with the time of the change where it hit them; the time itself is taken out."""
+    if UPDATED in rows.columns:
+        rows = rows.withColumn(UPDATED, F.when(hit, F.col("_at")).otherwise(F.col(UPDATED)))
+    return rows.drop("_at")
+
+
+def _at(changes: DataFrame, prefix: str = "") -> Column:
+    given = [F.col(f"{prefix}{AT}")] if AT in changes.columns else []
+    return F.coalesce(*given, F.current_timestamp())
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: str = "invoice_id", order: str | None = "change_seq") -> DataFrame:
     """Base with changed rows replaced and new rows added; kept columns survive an update.
 
     The change table holds each key once after ``latest``. Rows without a key cannot be addressed and are
-    passed through.
+    passed through. A column ``updated_at`` of the base takes the time of the change.
     """
     new = latest(changes.where(F.col(key).isNotNull()), [key], order).drop(order) if order else changes
     marked_new = new.select(F.col(key), F.struct(*[c for c in new.columns if c != key]).alias("new"))
@@ -31,6 +47,8 @@ def upsert(base: DataFrame, changes: DataFrame, key: str = "invoice_id", order:
     joined = marked_old.join(marked_new, key, "full_outer")
 
     def merged(name: str) -> Column:
+        if name == UPDATED:
+            return F.when(F.col("new").isNotNull(), _at(new, "new.")).otherwise(F.col(f"old.{name}"))
         if name not in new.columns:
             return F.col(f"old.{name}")
         if name in KEPT:
@@ -52,27 +70,24 @@ def delete(base: DataFrame, deleted: DataFrame, key: str = "invoice_id") -> Data
 
 def mark_paid(base: DataFrame, payments: DataFrame, key: str = "invoice_id") -> DataFrame:
     """Sets the status and the amount; without an amount the gross counts as paid."""
-    paid = payments.select(key, F.col("amount").alias("_amount"), F.lit(True).alias("_paid"))
+    paid = payments.select(key, F.col("amount").alias("_amount"), F.lit(True).alias("_paid"), _at(payments).alias("_at"))
     hit = F.col("_paid").isNotNull()
-    return (
+    marked = (
         base.join(paid, key, "left")
         .withColumn("payment_status", F.when(hit, PAID).otherwise(F.col("payment_status")))
         .withColumn(
             "paid_amount",
             F.when(hit, F.coalesce("_amount", "total_gross")).otherwise(F.col("paid_amount")).cast(MONEY),
         )
-        .drop("_amount", "_paid")
     )
+    return _stamped(marked, hit).drop("_amount", "_paid")
 
 
 def verify(base: DataFrame, marks: DataFrame, key: str = "invoice_id") -> DataFrame:
     """Sets ``is_verified`` from the marks, a table of key and verified."""
-    given = marks.select(key, F.col("verified").alias("_verified"))
-    return (
-        base.join(given, key, "left")
-        .withColumn("is_verified", F.coalesce("_verified", "is_verified"))
-        .drop("_verified")
-    )
+    given = marks.select(key, F.col("verified").alias("_verified"), F.lit(True).alias("_hit"), _at(marks).alias("_at"))
+    marked = base.join(given, key, "left").withColumn("is_verified", F.coalesce("_verified", "is_verified"))
+    return _stamped(marked, F.col("_hit").isNotNull()).drop("_verified", "_hit")
 
 
 def audit(feed: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def _(spark, folder):
 @query("x01_keyed_save")
 def _(spark, folder):
     stored_rows = relational.store(spark, folder).withColumn("change_seq", F.lit(-1).cast("long"))
-    arrived = stored_rows.unionByName(relational.updates(spark, folder).withColumn("change_seq", F.col("change_seq").cast("long")))
+    later = relational.updates(spark, folder).withColumn("change_seq", F.col("change_seq").cast("long"))
+    arrived = stored_rows.unionByName(later.drop("changed_at"))
     source = work_dir(spark, "source")
     arrived.repartitionByRange(4, "change_seq", "invoice_id").write.parquet(source)
     kept = Store(work_dir(spark, "store"), arrived.schema, every=2)

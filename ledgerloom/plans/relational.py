@@ -267,7 +267,7 @@ def updates(spark: SparkSession, folder: str) -> DataFrame:
         number.alias("invoice_id"), "invoice_type", "issue_date", "supplier_tax_id", "total_net",
         F.coalesce("amount", "total_gross").alias("total_gross"),
         F.lit("nieopłacona").alias("payment_status"), F.lit(0).cast("decimal(18,2)").alias("paid_amount"),
-        F.lit(True).alias("is_verified"), F.lit("new").alias("file_path"),
+        F.lit(True).alias("is_verified"), F.lit("new").alias("file_path"), F.col("ts").alias(changes.AT),
     )
 
 
@@ -591,6 +591,18 @@ def _(spark, folder):
     return changes.verify(store(spark, folder), marks).select("invoice_id", "is_verified")
 
 
+@query("k_updated_at")
+def _(spark, folder):
+    rows = store(spark, folder).withColumn("updated_at", F.lit(None).cast("timestamp"))
+    fed = feed(spark, folder).withColumnRenamed("ts", changes.AT)
+    paid = fed.where(F.col("action") == "PAYMENT").select("invoice_id", "seq", "amount", changes.AT)
+    marks = fed.where(F.col("action") == "VERIFY").select("invoice_id", "seq", F.lit(True).alias("verified"), changes.AT)
+    rows = changes.upsert(rows, updates(spark, folder))
+    rows = changes.mark_paid(rows, ordered.latest(paid, ["invoice_id"], "seq"))
+    rows = changes.verify(rows, ordered.latest(marks, ["invoice_id"], "seq"))
+    return rows.select("invoice_id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
 @query("k06_audit")
 def _(spark, folder):
     return changes.audit(feed(spark, folder)).drop("timestamp")

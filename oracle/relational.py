@@ -196,6 +196,12 @@ SQL["k04_mark_paid"] = with_(STORE, """, pay AS (SELECT order_key, amount FROM f
   CAST(CASE WHEN p.order_key IS NOT NULL THEN COALESCE(amount, total_gross) ELSE paid_amount END AS DOUBLE) AS paid_amount
   FROM store LEFT JOIN pay p USING (order_key)""")
 SQL["k05_verify"] = with_(STORE, "SELECT invoice_id, order_key IN (SELECT order_key FROM feed WHERE action = 'VERIFY') AS is_verified FROM store")
+SQL["k_updated_at"] = with_(STORE, """, stamps AS (SELECT event_id AS seq, ts FROM events),
+  pay AS (SELECT order_key, ts FROM feed JOIN stamps USING (seq) WHERE action = 'PAYMENT' QUALIFY row_number() OVER (PARTITION BY order_key ORDER BY seq DESC) = 1),
+  ver AS (SELECT order_key, ts FROM feed JOIN stamps USING (seq) WHERE action = 'VERIFY' QUALIFY row_number() OVER (PARTITION BY order_key ORDER BY seq DESC) = 1)
+  SELECT c.invoice_id, strftime(COALESCE(v.ts, p.ts, t.ts), '%Y-%m-%d %H:%M:%S') AS updated_at FROM clean c LEFT JOIN upd u ON u.invoice_id = c.invoice_id
+    LEFT JOIN stamps t ON t.seq = u.seq LEFT JOIN pay p ON p.order_key = c.order_key LEFT JOIN ver v ON v.order_key = c.order_key
+  UNION ALL SELECT u.invoice_id, strftime(ts, '%Y-%m-%d %H:%M:%S') FROM upd u JOIN stamps USING (seq) WHERE u.action = 'CREATE'""")
 SQL["k06_audit"] = with_(STORE, """SELECT seq, invoice_id, action, 'SYSTEM' AS user, CASE action WHEN 'PAYMENT' THEN CASE WHEN amount IS NULL THEN '{}' ELSE '{"amount":' || amount || '}' END
   WHEN 'VERIFY' THEN '{"verified":true}' END AS changes FROM fed""")
 

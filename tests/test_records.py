@@ -256,3 +256,22 @@ def test_stream_equals_batch(spark, folder):
     feeds.first_of_key(stream(), seen, work_dir(spark, "state"), "user_id", "ts", "3650 days").awaitTermination()
     keys = [r.user_id for r in spark.read.parquet(seen).collect()]
     assert len(keys) == len(set(keys)) == events.select("user_id").distinct().count()
+
+
+def test_changes_leave_their_time(spark):
+    base = spark.sql(
+        "select x as invoice_id, 'u' as payment_status, cast(0 as decimal(18,2)) as paid_amount, cast(9 as decimal(18,2)) as total_gross, "
+        "false as is_verified, timestamp'2020-01-01 00:00:00' as updated_at from values ('a'), ('b'), (null) t(x)"
+    )
+    at = "timestamp'2024-05-06 07:08:09'"
+    later, old = dt.datetime(2024, 5, 6, 7, 8, 9), dt.datetime(2020, 1, 1)
+    paid = changes.mark_paid(base, spark.sql(f"select 'a' as invoice_id, cast(null as decimal(18,2)) as amount, {at} as changed_at"))
+    marked = changes.verify(base, spark.sql(f"select 'b' as invoice_id, false as verified, {at} as changed_at"))
+    saved = changes.upsert(base, base.where("invoice_id = 'a'").withColumns({"change_seq": F.lit(1), "changed_at": F.expr(at)}))
+    for rows, hit in ((paid, "a"), (marked, "b"), (saved, "a")):
+        assert rows.columns == base.columns
+        assert {r.invoice_id: r.updated_at for r in rows.collect()} == {x: later if x == hit else old for x in ("a", "b", None)}
+    now = changes.verify(base, spark.sql("select 'b' as invoice_id, true as verified"))
+    assert {r.invoice_id: r.updated_at > later for r in now.collect()} == {"a": False, "b": True, None: False}
+    without = changes.mark_paid(base.drop("updated_at"), spark.sql("select 'a' as invoice_id, cast(1 as decimal(18,2)) as amount"))
+    assert "updated_at" not in without.columns and without.where("paid_amount = 1").count() == 1
