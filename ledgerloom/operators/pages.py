@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import dims
-from ledgerloom.functions.text import keyword_hits
+from ledgerloom.functions.text import keyword_hits, may_hold
 from ledgerloom.memo import memo
 
 BLOCK = 1 << 16  # pages whose marks one window may hold
@@ -32,19 +32,27 @@ def _per_language(values: dict[str, Column]) -> Column:
 @memo
 def _feature_columns() -> list[dict[str, Column]]:
     text, upper = F.col("text"), F.col("upper")
+
+    def held(pattern: str, words: list[str]) -> Column:
+        """Whether the pattern is found; only texts that hold one of the words, if any are given, are searched."""
+        hit = text.rlike(_any_case(pattern))
+        return may_hold(text, upper, words) & hit if words else hit
+
     number = None
     index = None
     for i, pattern in enumerate(dims.PAGE_HEADERS):
-        hit = text.rlike(_any_case(pattern))
+        hit = held(pattern, dims.PAGE_HEADER_WORDS[i])
         index = F.when(hit, i) if index is None else index.when(hit, i)
         found = F.regexp_extract(text, _any_case(pattern + r"\s*([A-Z0-9/\-\.]+)"), 1)
         number = F.when(F.col("header") == i, found) if number is None else number.when(F.col("header") == i, found)
     starts = _per_language({k: keyword_hits(upper, v) for k, v in dims.START_KEYWORDS.items()})
     ends = _per_language({k: keyword_hits(upper, v) for k, v in dims.END_KEYWORDS.items()})
-    indicators = sum((text.rlike(_any_case(p)).cast("int") for p in dims.TABLE_INDICATORS), F.lit(0))
+    indicators = sum(
+        (held(p, ws).cast("int") for p, ws in zip(dims.TABLE_INDICATORS, dims.TABLE_INDICATOR_WORDS, strict=True)), F.lit(0)
+    )
     summary = F.lit(False)
-    for pattern in dims.SUMMARY_PATTERNS:
-        summary = summary | text.rlike(_any_case(pattern))
+    for pattern, words in zip(dims.SUMMARY_PATTERNS, dims.SUMMARY_WORDS, strict=True):
+        summary = summary | held(pattern, words)
     total = F.regexp_extract(text, _any_case(dims.TOTAL_TEXT), 1)
     points = sum(
         (F.when(F.col(c), p).otherwise(0) for c, p in (
@@ -61,7 +69,7 @@ def _feature_columns() -> list[dict[str, Column]]:
             "end_keywords": ends >= 2,
             "has_items": (indicators >= 3) | (F.regexp_count(text, F.lit(dims.PRICE_LIKE)) >= 5),
             "has_summary": summary,
-            "has_signature": text.rlike(_any_case(dims.SIGNATURE)),
+            "has_signature": held(dims.SIGNATURE, dims.SIGNATURE.split("|")),
         },
         {
             "has_header": F.col("header").isNotNull(),
