@@ -25,7 +25,8 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates: one document of each group stays whose five-word shingles are alike by 0.8 or more."""
+    """Operator 10 and more: pairs that its fingerprints or MinHash keys link are checked on their five-word shingles;
+    one document of each group stays whose shingles are alike by 0.8 or more."""
     return similar.drop_similar(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near-duplicates by shingle similarity: MinHash bands find candidates, whole shingle sets decide."""
+"""Near-duplicates by shingle similarity: SimHash links and MinHash bands find candidates, whole shingle sets decide."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
 
+from ledgerloom.llm import simhash
 from ledgerloom.llm.common import components, fresh
 from ledgerloom.session import stored
 
@@ -78,6 +79,18 @@ def _alike(least: float, a: Column, b: Column) -> Column:
     return check(a, b)
 
 
+def print_pairs(signed: DataFrame) -> DataFrame:
+    """(a, b) of distinct shingle sets a < b that the fingerprints of operator 10 (``fp``) link: equal ones meet at their
+    smallest set, those of 1 to 3 bits apart by its links, each between the smallest sets of two fingerprints."""
+    kinds = stored(signed.select("fp", "t").distinct(), "print-kinds")
+    least = stored(kinds.groupBy("fp").agg(F.min("t").alias("least")), "prints")
+    equal = kinds.join(least, "fp").select("t", F.col("least").alias("u"))
+    links = simhash.near_pairs(least.select("fp"))
+    near = links.join(least.toDF("a", "t"), "a").join(least.toDF("b", "u"), "b").select("t", "u")
+    met = equal.unionByName(near).where("t != u")
+    return met.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct()
+
+
 def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((a, b), (t)) of distinct shingle sets (``t``, with their keys ``v``): pairs a < b that share a key, and all sets
     of large keys, whose pairs are not all among them.
@@ -156,8 +169,8 @@ def drop_similar(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     """``docs`` with one row of each group of similar texts: its smallest doc_id, null ids last, then the smallest text by MD5.
 
     Texts link when the Jaccard similarity of their sets of five-word shingles is ``alike`` or more; links are
-    transitive. Every candidate pair is checked on its whole sets, so no text goes without a link. Candidates share a
-    MinHash key. In a key of many sets each is first compared with one of them only; then the sets of such keys are
+    transitive. Every candidate pair is checked on its whole sets, so no text goes without a link. Candidates are linked
+    by the SimHash fingerprints of operator 10 (3 bits at most), or they share a MinHash key. In a key of many sets each is first compared with one of them only; then the sets of such keys are
     searched exactly: pairs of different groups that share one of their rarest shingles. Texts of one set,
     also all without words, are one group. Repeated rows are one candidate and leave one row. Columns pass
     unchanged, whatever their names; maps, which can't be compared, are not allowed.
@@ -170,11 +183,13 @@ def drop_similar(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
         F.xxhash64(*columns),
     ]
     keyed = docs.withColumns(dict(zip(names, key, strict=True)))
-    slim = stored(keyed.select(F.struct(*names).alias("key"), _signed(text).alias("s")), "signatures")
-    slim = slim.select("key", "s.t", "s.v")
+    printed = simhash.fingerprints(keyed.select(text.alias("text"), *names))
+    slim = stored(printed.select(F.struct(*names).alias("key"), "fp", _signed(F.col("text")).alias("s")), "signatures")
+    slim = slim.select("key", "fp", "s.t", "s.v")
     kinds = stored(slim.groupBy("t").agg(F.min("key").alias("key")), "kinds")
     pairs, large = candidates(slim)
-    pairs, large = stored(pairs, "pairs"), stored(large, "large-keys")
+    pairs = stored(pairs.unionByName(print_pairs(slim)).distinct(), "pairs")
+    large = stored(large, "large-keys")
 
     wanted = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
     wanted = stored(kinds.join(wanted, "t").select(F.col("t").alias("set_of"), "key.*"), "wanted")
