@@ -64,7 +64,8 @@ def near_pairs(found: DataFrame) -> DataFrame:
     of four blocks of 16 bits, so a second key leaves out a block and holds one flip at most in the other 48 bits
     (4 x 49 variants instead of the 2,081 within two flips). Distance 3 changes the parity of the bit count:
     even fingerprints meet odd ones only, pairs that the first step has already joined are passed over, and each
-    pair that meets is checked by its bits. Both steps shuffle variants of distinct fingerprints only.
+    pair that meets is checked by its bits. Both steps shuffle variants of distinct fingerprints only; Spark sizes them like
+    the fingerprints they come from, so that the join is told to merge, else the driver would get all of them to broadcast.
     """
     every = _masks(range(BITS))
     ball = found.select("fp", F.explode(_flips(F.col("fp"), every)).alias("v"))
@@ -88,7 +89,7 @@ def near_pairs(found: DataFrame) -> DataFrame:
     left = wide.where(~odd).alias("l")
     right = wide.where(odd).alias("r")
     apart = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp")))
-    met = left.join(right, (F.col("l.v") == F.col("r.v")) & (F.col("l.c") != F.col("r.c")) & (apart <= 3))
+    met = left.join(right.hint("merge"), (F.col("l.v") == F.col("r.v")) & (F.col("l.c") != F.col("r.c")) & (apart <= 3))
     across = met.select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct()
     return close.unionByName(across)
 
