@@ -138,14 +138,15 @@ def _meetings(left: DataFrame, right: DataFrame, alike: float) -> DataFrame:
     """Pairs at a token of sets in different groups that may be ``alike``; (a, b) with a < b.
 
     From the first shared shingle on, both sets must still hold as many as a pair of their sizes has to share. At a
-    later one this counts too few, but then the pair is met at its first as well.
+    later one this counts too few, but then the pair is met at its first as well. Rows of a set lie side by side and are
+    stored in few bytes, from which Spark would take them as small enough to broadcast.
     """
     other = right.select(
         "token", F.col("t").alias("u"), F.col("size").alias("size2"), F.col("place").alias("place2"), F.col("group").alias("group2")
     )
     shared = (F.col("size") + F.col("size2")) * (alike / (1 + alike)) - 1e-6
     rest = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2")) + 1
-    met = left.join(other, "token").where((F.col("t") != F.col("u")) & (F.col("group") != F.col("group2")) & (rest >= shared))
+    met = left.join(other.hint("merge"), "token").where((F.col("t") != F.col("u")) & (F.col("group") != F.col("group2")) & (rest >= shared))
     return met.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct()
 
 
